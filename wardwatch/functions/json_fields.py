@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardwatch.schema import ENVELOPE_KEYS
 
@@ -16,21 +16,28 @@ _FLOAT_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_D
 _LONG_SEQ_TEXT = r'"seq"\s*:\s*-?[1-9][0-9]{18,}\s*[,}]'
 
 
-def parse_object(text: Column) -> Column:
-    """VARIANT of ``text`` when the whole text is one JSON object in UTF-8, else NULL.
+def with_document(rows: DataFrame, text: Column, name: str = "document") -> DataFrame:
+    """Adds the VARIANT of ``text`` when the whole text is one JSON object in UTF-8, else NULL.
 
     The JSON reader stops after the first value, so trailing characters would go unseen. The text is
     therefore read as the first element of a two-element array closed by a hash of the text itself: the
-    hash is found in second place only when nothing but the object precedes it.
+    hash is found in second place only when nothing but the object precedes it. A leading byte order mark is
+    skipped. The array is a column of its own, so that it is built once per row.
     """
-    body = F.when(text.startswith("﻿"), F.substring(text, 2, 2_147_483_647)).otherwise(text)
     seal = F.xxhash64(text)
-    sealed = F.from_json(
-        F.concat(F.lit("["), body, F.lit(","), seal.cast("string"), F.lit("]")), "variant", _PARSE_OPTIONS
+    unmarked = F.regexp_replace(text, "^\ufeff", "")
+    body = F.when(text.startswith("\ufeff"), unmarked).otherwise(text)
+    array = F.concat(F.lit("["), body, F.lit(","), seal.cast("string"), F.lit("]"))
+    sealed = F.col("_sealed")
+    is_object = (
+        F.is_valid_utf8(text)
+        & F.ltrim(body, F.lit(" \t\r\n")).startswith("{")
+        & (F.try_variant_get(sealed, "$[1]", "bigint") == seal)
     )
-    is_object = F.is_valid_utf8(text) & body.rlike(r"^[ \t\r\n]*\{")
-    return F.when(
-        is_object & (F.try_variant_get(sealed, "$[1]", "bigint") == seal), F.try_variant_get(sealed, "$[0]", "variant")
+    return (
+        rows.withColumn("_sealed", F.from_json(array, "variant", _PARSE_OPTIONS))
+        .withColumn(name, F.when(is_object, F.try_variant_get(sealed, "$[0]", "variant")))
+        .drop("_sealed")
     )
 
 
@@ -44,9 +51,15 @@ def kind(value: Column) -> Column:
 
 
 def required_text(document: Column, name: str) -> Column:
-    """The field as text when it is a non-empty JSON string, else NULL."""
-    value = field(document, name)
-    return F.when(kind(value) == "STRING", F.nullif(F.try_variant_get(document, f"$.{name}", "string"), F.lit("")))
+    """The field as text when it is a non-empty JSON string, else NULL.
+
+    Reading a field as text also turns numbers, flags, and nested values into text. Such text starts with one
+    of a few characters, so the type is looked up only when the text starts with one of them.
+    """
+    text = F.try_variant_get(document, f"$.{name}", "string")
+    first = F.substring(text, 1, 1)
+    unmistakable = ~first.isin(*"0123456789-tfnNIi{[")
+    return F.when((text != "") & (unmistakable | (kind(field(document, name)) == "STRING")), text)
 
 
 def seq_is_valid(document: Column, text: Column) -> Column:

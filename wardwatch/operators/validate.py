@@ -75,9 +75,8 @@ def validate_raw(arrivals: DataFrame, raw: str = "raw", received_at: str = "rece
     ``raw`` as the dead letter. Works on batch and streaming input.
     """
     document = F.col("document")
-    parsed = arrivals.select(
-        F.col(raw).alias("raw"), F.col(received_at).alias("received_at"), J.parse_object(F.col(raw)).alias("document")
-    )
+    named = arrivals.select(F.col(raw).alias("raw"), F.col(received_at).alias("received_at"))
+    parsed = J.with_document(named, F.col("raw"))
     fields = parsed.select(
         "raw",
         "received_at",
@@ -175,17 +174,19 @@ def read_text_log(rows: DataFrame) -> DataFrame:
     the others.
     """
     document = F.col("document")
-    typed = rows.select(
-        "device_id",
-        "room_id",
-        "type",
-        parse_iso_utc(F.col("ts")).alias("ts"),
-        parse_iso_utc(F.col("received_at")).alias("received_at"),
-        F.lit(None).cast("bigint").alias("seq"),
-        "payload",
-        F.coalesce(F.col("late") != 0, F.lit(False)).alias("late"),
-        priority_of(F.col("type")).alias("priority"),
-        J.parse_object(F.col("payload")).alias("document"),
+    typed = _computed_once(
+        J.with_document(rows, F.col("payload")).select(
+            "device_id",
+            "room_id",
+            "type",
+            parse_iso_utc(F.col("ts")).alias("ts"),
+            parse_iso_utc(F.col("received_at")).alias("received_at"),
+            F.lit(None).cast("bigint").alias("seq"),
+            "payload",
+            F.coalesce(F.col("late") != 0, F.lit(False)).alias("late"),
+            priority_of(F.col("type")).alias("priority"),
+            "document",
+        )
     )
     return typed.select(
         *[name for name in EVENT_COLUMNS if name not in ("in_room", "confidence")],

@@ -14,7 +14,6 @@ from pyspark.sql.types import TimestampType
 from wardwatch.functions import json_fields as J
 from wardwatch.functions.timeline import iso_text, parse_iso_utc
 from wardwatch.operators import falls, health, metrics, occupancy, ordering, recovery, validate
-from wardwatch.schema import KNOWN_TYPES
 from wardwatch.session import configure, new_table_path
 from wardwatch.sources import alarm_table, event_log, snapshots
 from wardwatch.sources.device_feed import (
@@ -88,9 +87,12 @@ def _stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s1_json_source(spark, sf_dir):
     path = new_table_path(spark, "json-lines")
     feed_json(spark, sf_dir).select("raw").write.text(path)
-    lines = read_raw(spark, path, AS_OF).select(J.parse_object(F.col("raw")).alias("document"))
+    lines = J.with_document(read_raw(spark, path, AS_OF), F.col("raw"))
     return (
-        lines.select(F.try_variant_get("document", "$.type", "string").alias("type"), F.col("document").isNotNull().alias("is_object"))
+        lines.select(
+            F.try_variant_get("document", "$.type", "string").alias("type"),
+            F.col("document").isNotNull().alias("is_object"),
+        )
         .groupBy("type", "is_object")
         .agg(F.count("*").alias("lines"))
     )
@@ -232,7 +234,7 @@ def v10_payload_typed(spark, sf_dir):
     flag, confidence = _payload_variants()
     comma = F.when((flag != "") & (confidence != ""), ",").otherwise("")
     raw = F.concat(F.lit("{"), flag, comma, confidence, F.lit("}"))
-    documents = source_events(spark, sf_dir).select("event_id", J.parse_object(raw).alias("document"))
+    documents = J.with_document(source_events(spark, sf_dir).withColumn("raw", raw), F.col("raw"))
     return documents.select(
         "event_id",
         J.truthy(F.col("document"), "in_room").alias("in_room"),

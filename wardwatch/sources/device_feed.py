@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wardwatch.functions.timeline import iso_text
 from wardwatch.operators.validate import apply_time_rules
 from wardwatch.schema import ARRIVAL_COLUMNS, EVENT_COLUMNS, MICROS
+from wardwatch.sources.raw_json import spread_for_parsing
 
 # Fixed values of the mapping.
 TYPE_OF = {"click": "heartbeat", "view": "motion", "purchase": "presence", "signup": "sleep_state"}
@@ -20,6 +21,11 @@ DELAY_SECONDS = {0: 7200, 1: -7200, 2: 45, 3: 1200}
 COPY_GAP_SECONDS = 6
 
 
+def _padded(number: Column, width: int) -> Column:
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def _event_type() -> Column:
     mapped = F.lit("fall_warn")
     for source, target in TYPE_OF.items():
@@ -68,8 +74,8 @@ def adapt(source: DataFrame) -> DataFrame:
         .select(
             "event_id",
             (F.col("event_id") * 10 + F.col("copy")).alias("seq"),
-            F.format_string("dev_%04d", F.col("user_id")).alias("device_id"),
-            F.format_string("room_%03d", F.floor(F.col("user_id") / 2)).alias("room_id"),
+            F.concat(F.lit("dev_"), _padded(F.col("user_id"), 4)).alias("device_id"),
+            F.concat(F.lit("room_"), _padded(F.floor(F.col("user_id") / 2), 3)).alias("room_id"),
             _event_type().alias("type"),
             "ts",
             _receipt().alias("received_at"),
@@ -128,4 +134,4 @@ def wire_json(feed: DataFrame) -> DataFrame:
 
 
 def feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wire_json(device_feed(spark, sf_dir))
+    return wire_json(adapt(spread_for_parsing(source_events(spark, sf_dir))))

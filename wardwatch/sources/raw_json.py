@@ -13,6 +13,16 @@ def read_raw(spark: SparkSession, path: str, received_at) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("raw"), stamp.alias("received_at"))
 
 
+def spread_for_parsing(raw: DataFrame) -> DataFrame:
+    """Spread a batch that is read by fewer tasks than there are cores.
+
+    Validation is bound by CPU, and compressed text or a file of one row group is read by one task. An
+    input that already has a task per core, as any large one does, is left alone and pays no shuffle.
+    """
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    return raw.repartition(cores) if raw.rdd.getNumPartitions() < cores else raw
+
+
 def stream_raw(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """New files under ``path`` as a stream, received when their micro-batch starts.
 
