@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from wardwatch.functions.keys import dedup_key
 from wardwatch.functions.timeline import as_of_literal
 from wardwatch.schema import ALARM_COLUMNS, DEDUP_TTL_SECONDS, MICROS
 
-# Keys with at most this many distinct arrival times are folded as one sorted array.
+# Keys with at most this many rows are folded as one sorted array.
 FOLD_LIMIT = 1000
 
 
@@ -55,96 +55,99 @@ def alarms_from_falls(events: DataFrame) -> DataFrame:
     )
 
 
-def _walk_arrivals(batches: Iterator[pd.DataFrame], ttl_micros: int) -> Iterator[pd.DataFrame]:
-    """Accepting arrivals of each key from its bitmap rows in time order; keeps one number between rows."""
-    key, free_from, first = None, 0, True
-    for batch in batches:
-        found = []
-        for row_key, bucket, bits in zip(batch["dedup_key"], batch["bucket"], batch["bits"]):
-            if row_key != key:
-                key, free_from, first = row_key, 0, True
-            times = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
-            times = times + ((int(bucket) - 1) * 32768 + 1)
-            at = int(np.searchsorted(times, free_from))
-            while at < len(times):
-                moment = int(times[at])
-                found.append((key, moment, first))
-                free_from, first = moment + ttl_micros, False
+def _arrival_walker(ttl_micros: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function that finds the accepted arrivals of each key from its bitmap rows in time order.
+
+    It keeps one number between rows. Being a closure, it travels to the executors by value, so they need
+    not have this package.
+    """
+
+    def walk(batches):
+        key, free_from, first = None, 0, True
+        for batch in batches:
+            found = []
+            for row_key, bucket, bits in zip(batch["dedup_key"], batch["bucket"], batch["bits"]):
+                if row_key != key:
+                    key, free_from, first = row_key, 0, True
+                offsets = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
+                times = offsets + ((int(bucket) - 1) * 32768 + 1)
                 at = int(np.searchsorted(times, free_from))
-        yield pd.DataFrame(found, columns=["dedup_key", "arrival", "is_first"])
+                while at < len(times):
+                    found.append((key, int(times[at]), first))
+                    free_from, first = int(times[at]) + ttl_micros, False
+                    at = int(np.searchsorted(times, free_from))
+            yield pd.DataFrame(found, columns=["dedup_key", "arrival", "is_first"])
 
+    return walk
 
-def accepting_arrivals(arrivals: DataFrame, ttl_seconds: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Arrival times at which a key's time-to-live entry is set: the first one, then each first arrival at
-    least ``ttl_seconds`` after the last set.
 
-    ``arrivals`` is distinct (dedup_key, arrival micros). Keys with few arrivals are folded as a sorted
-    array of at most ``fold_limit`` numbers. For the others the arrivals are combined on the map side into
-    bitmaps of 32,768 microseconds; accepted copies of one key arrive within two hours of each other, so a
-    key has at most about 220,000 bitmaps of 4 KB, and they are walked one row at a time.
-    """
-    ttl_micros = ttl_seconds * MICROS
-    busy = arrivals.groupBy("dedup_key").agg(F.count("*").alias("n")).where(F.col("n") > fold_limit).select("dedup_key")
+def _label_few(falls: DataFrame, ttl_micros: int) -> DataFrame:
+    """Accepted arrivals of keys with a bounded number of rows: a fold over one sorted array per key."""
 
-    def accept(found, moment):
-        free = (F.size(found) == 0) | (moment >= F.element_at(found, -1) + ttl_micros)
-        return F.when(free, F.concat(found, F.array(moment))).otherwise(found)
+    def accept(accepted, row):
+        free = (F.size(accepted) == 0) | (row["arrival"] >= F.element_at(accepted, -1) + ttl_micros)
+        return F.when(free, F.concat(accepted, F.array(row["arrival"]))).otherwise(accepted)
 
     folded = (
-        arrivals.join(busy, "dedup_key", "left_anti")
-        .groupBy("dedup_key")
-        .agg(F.array_sort(F.collect_list("arrival")).alias("times"))
-        .select(
-            "dedup_key",
-            F.posexplode(F.aggregate("times", F.array().cast("array<bigint>"), accept)).alias("position", "arrival"),
-        )
-        .select("dedup_key", "arrival", (F.col("position") == 0).alias("is_first"))
+        falls.groupBy("dedup_key")
+        .agg(F.array_sort(F.collect_list(F.struct("arrival", "n"))).alias("rows"))
+        .withColumn("accepted", F.aggregate("rows", F.array().cast("array<bigint>"), accept))
+    )
+    accepted_as = F.when(F.col("row.arrival") == F.col("accepted")[0], "new").when(
+        F.array_contains("accepted", F.col("row.arrival")), "dedup_post_ttl"
+    )
+    return folded.select("dedup_key", "accepted", F.explode("rows").alias("row")).select(
+        "dedup_key", "row.arrival", "row.n", accepted_as.alias("accepted_as")
     )
-    walked = (
-        arrivals.join(busy, "dedup_key", "left_semi")
-        .groupBy("dedup_key", F.bitmap_bucket_number("arrival").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("arrival")).alias("bits"))
+
+
+def _label_many(falls: DataFrame, ttl_micros: int) -> DataFrame:
+    """Accepted arrivals of keys with any number of rows.
+
+    The arrivals are combined on the map side into bitmaps of 32,768 microseconds. Accepted copies of one key
+    arrive within two hours of each other, so a key has at most about 220,000 bitmaps of 4 KB, which are
+    walked one at a time. The label then returns to its row by (key, arrival), which is unique on both sides.
+    """
+    marks = (
+        falls.groupBy("dedup_key", F.bitmap_bucket_number("arrival").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("arrival")).alias("bits"), F.sum("n").alias("rows"))
         .repartition("dedup_key")
         .sortWithinPartitions("dedup_key", "bucket")
-        .mapInPandas(
-            lambda batches: _walk_arrivals(batches, ttl_micros), "dedup_key string, arrival bigint, is_first boolean"
-        )
+        .mapInPandas(_arrival_walker(ttl_micros), "dedup_key string, arrival bigint, is_first boolean")
+        .withColumn("accepted_as", F.when(F.col("is_first"), "new").otherwise("dedup_post_ttl"))
+        .drop("is_first")
     )
-    return folded.unionByName(walked)
+    return falls.join(marks, ["dedup_key", "arrival"], "left")
 
 
 def fall_outcomes(
     events: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """what happened to each fall on live arrival: ``new``, ``dedup_in_window``, ``dedup_post_ttl``.
+    """what happened to the falls on live arrival: ``new``, ``dedup_in_window``, ``dedup_post_ttl``.
 
-    Arrival order is (received_at, seq). The time-to-live runs from the last accepted arrival and a hit does
-    not renew it; an arrival exactly at its end opens a new one. Exact copies (equal key, received_at, and
-    seq) share a row and are counted in ``copies``.
+    The time-to-live runs from the last accepted arrival and a hit does not renew it; an arrival exactly at its
+    end opens a new one. Falls of one key received at the same microsecond share a row per outcome and are
+    counted in ``copies``: one of them is accepted at most. Keys with more than ``fold_limit`` rows are never
+    gathered in one place.
     """
+    ttl_micros = ttl_seconds * MICROS
     falls = (
         keyed_falls(events)
-        .groupBy("dedup_key", F.unix_micros("received_at").alias("arrival"), F.coalesce("seq", F.lit(0)).alias("seq"))
+        .groupBy("dedup_key", F.unix_micros("received_at").alias("arrival"))
         .agg(F.count("*").alias("n"))
     )
-    arrivals = falls.groupBy("dedup_key", "arrival").agg(F.min("seq").alias("seq"))
-    accepted = accepting_arrivals(arrivals.select("dedup_key", "arrival"), ttl_seconds, fold_limit)
-    marks = arrivals.join(accepted, ["dedup_key", "arrival"])
-    labelled = falls.join(marks, ["dedup_key", "arrival", "seq"], "left")
-    hit = F.col("is_first").isNotNull()
+    busy = falls.groupBy("dedup_key").agg(F.sum("n").alias("rows")).where(F.col("rows") > fold_limit)
+    labelled = _label_few(falls.join(busy, "dedup_key", "left_anti"), ttl_micros).unionByName(
+        _label_many(falls.join(busy, "dedup_key", "left_semi"), ttl_micros)
+    )
+    hit = F.when(F.col("accepted_as").isNotNull(), 1).otherwise(0).cast("bigint")
     split = F.array(
-        F.struct(
-            F.when(F.col("is_first"), "new").otherwise("dedup_post_ttl").alias("outcome"),
-            F.when(hit, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("copies"),
-        ),
-        F.struct(
-            F.lit("dedup_in_window").alias("outcome"),
-            F.when(hit, F.col("n") - 1).otherwise(F.col("n")).alias("copies"),
-        ),
+        F.struct(F.col("accepted_as").alias("outcome"), hit.alias("copies")),
+        F.struct(F.lit("dedup_in_window").alias("outcome"), (F.col("n") - hit).alias("copies")),
     )
     return (
-        labelled.select("dedup_key", F.timestamp_micros("arrival").alias("received_at"), "seq", F.explode(split).alias("s"))
-        .select("dedup_key", "received_at", "seq", "s.outcome", "s.copies")
+        labelled.select("dedup_key", F.timestamp_micros("arrival").alias("received_at"), F.explode(split).alias("s"))
+        .select("dedup_key", "received_at", "s.outcome", "s.copies")
         .where(F.col("copies") > 0)
     )
 

@@ -261,7 +261,7 @@ walk AS (
 """,
         recursive=True,
     )
-    + "SELECT dedup_key, received_at, seq, outcome, count(*) AS copies FROM walk GROUP BY ALL",
+    + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
     "f5_alarms_since": _with(_FEED, _FALLS)
     + f"SELECT device_id, room_id, ts, round(confidence, 6) AS confidence, received_at FROM alarms WHERE ts >= {_SNAPSHOT} ORDER BY ts",
     "f5_alarms_since_room": _with(_FEED, _FALLS)
