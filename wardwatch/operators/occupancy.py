@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from wardwatch.functions.timeline import as_of_literal, as_of_micros, shift
+from wardwatch.functions.timeline import as_of_micros, shift
 from wardwatch.functions.windows import window_seconds as parse_window
 from wardwatch.operators.health import visible
 from wardwatch.schema import ANCHOR_SLACK_MICROS, MICROS, RETAIN_SECONDS

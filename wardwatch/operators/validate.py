@@ -61,7 +61,7 @@ def _computed_once(rows: DataFrame) -> DataFrame:
     """The same rows, as the output of a generator of one row.
 
     The optimizer moves a filter below the projection it reads from by copying the projected expressions into
-    it. For parsed JSON that would parse every text again for each reference; it does not move filters
+    it. For parsed JSON that would parse every text again for each use; it does not move filters
     below a generator whose output they read.
     """
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("row")).select("row.*")

@@ -18,7 +18,6 @@ from wardwatch.session import configure, new_table_path
 from wardwatch.sources import alarm_table, event_log, snapshots
 from wardwatch.sources.device_feed import (
     adapt,
-    device_feed,
     feed_arrivals,
     feed_events,
     feed_json,
