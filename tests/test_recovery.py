@@ -86,3 +86,16 @@ def test_old_slots_are_reused(spark):
     assert snapshots.read_latest(spark, folder).version == 3
     assert snapshots.read_latest(spark, folder, before=3).version == 2
     assert snapshots.read_latest(spark, folder, before=2) is None
+
+
+def test_a_version_does_not_overwrite_the_one_it_is_made_from(spark):
+    folder = new_table_path(spark, "state")
+    rows = random_log(8, 60)
+    snapshots.write_snapshot(recovery.state_as_of(events(spark, rows[:30]), NOW), folder, 0, NOW)
+    for version in (4, 8, 8, 12):
+        previous = snapshots.read_latest(spark, folder, before=version).state
+        merged = recovery.merge_state([previous, recovery.contributions(events(spark, rows[30:]))])
+        snapshots.write_snapshot(merged, folder, version, NOW)
+    latest = snapshots.read_latest(spark, folder)
+    assert latest.version == 12
+    assert contents(latest.state) == contents(recovery.state_as_of(events(spark, rows), NOW))

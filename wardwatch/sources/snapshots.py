@@ -1,8 +1,8 @@
 """State snapshots (S6, O5): the four state tables in a small ring of slots.
 
-A version goes to slot ``version % slots``, so old versions are overwritten and the folder stays bounded. The
-commit row of a slot is written last; a slot without a complete commit is ignored and the previous version
-is used.
+A version goes to the slot after the one of the version before it, so old versions are overwritten, the folder
+stays bounded, and a version that is merged into the next one is never overwritten by it. The commit row of a
+slot is written last; a slot without a complete commit is ignored and the previous version is used.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ _COMMIT_DDL = "version BIGINT, slot INT, snapshot_ts TIMESTAMP, complete BOOLEAN
 @dataclass(frozen=True)
 class Snapshot:
     version: int
+    slot: int
     snapshot_ts: datetime
     state: State
 
@@ -45,7 +46,8 @@ def _commit(spark: SparkSession, folder: str, version: int, slot: int, snapshot_
 def write_snapshot(state: State, folder: str, version: int, snapshot_ts, slots: int = 4) -> None:
     """Write one version. Writing the same version again gives the same result."""
     spark = state[STATE_TABLES[0]].sparkSession
-    slot = version % slots
+    previous = read_latest(spark, folder, before=version)
+    slot = 0 if previous is None else (previous.slot + 1) % slots
     _commit(spark, folder, version, slot, snapshot_ts, complete=False)
     for name in STATE_TABLES:
         state[name].write.mode("overwrite").parquet(f"{folder}/slot={slot}/{name}")
@@ -71,4 +73,4 @@ def read_latest(spark: SparkSession, folder: str, before: int | None = None) ->
     state = {
         name: spark.read.schema(_STATE_DDL[name]).parquet(f"{folder}/slot={slot}/{name}") for name in STATE_TABLES
     }
-    return Snapshot(version, datetime.strptime(stamp, "%Y-%m-%d %H:%M:%S.%f"), state)
+    return Snapshot(version, slot, datetime.strptime(stamp, "%Y-%m-%d %H:%M:%S.%f"), state)
