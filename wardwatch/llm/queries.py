@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import bpe, exact_dedup, packing
+from wardwatch.llm import bpe, exact_dedup, packing, substring_dedup, suffix_index
 from wardwatch.llm.tables import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -23,7 +27,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_packing, op6_bpe)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeated_bytes(read(spark, sf_dir, "documents"), keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op9_suffix_array_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -40,4 +48,25 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, seen FROM g
     """,
+    "op4_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), starts AS (
+            SELECT doc_id, words, unnest(range(len(words) - 19)) AS at FROM d WHERE len(words) >= 20
+        ), numbered AS (
+            SELECT doc_id, at, row_number() OVER (
+                PARTITION BY array_to_string(words[at + 1 : at + 20], ' ') ORDER BY doc_id, at) AS nth
+            FROM starts
+        ), gone AS (
+            SELECT DISTINCT doc_id, at + k AS at FROM numbered, range(20) r(k) WHERE nth > 1
+        ), flat AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS at FROM d
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS kept, count(*) AS n
+            FROM flat ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }
