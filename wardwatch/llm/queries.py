@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import bpe, exact_dedup, packing, substring_dedup, suffix_index
+from wardwatch.llm import bpe, exact_dedup, packing, quality, substring_dedup, suffix_index, toxicity
 from wardwatch.llm.tables import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
 
@@ -31,7 +35,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeated_bytes(read(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op5_packing, op6_bpe, op9_suffix_array_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_exact_dedup,
+    op3_quality,
+    op4_substring_dedup,
+    op5_packing,
+    op6_bpe,
+    op9_suffix_array_dedup,
+    op10_toxicity,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -52,18 +69,18 @@ ORACLES = {
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
         ), starts AS (
-            SELECT doc_id, words, unnest(range(len(words) - 19)) AS at FROM d WHERE len(words) >= 20
+            SELECT doc_id, words, unnest(range(len(words) - 19)) AS pos FROM d WHERE len(words) >= 20
         ), numbered AS (
-            SELECT doc_id, at, row_number() OVER (
-                PARTITION BY array_to_string(words[at + 1 : at + 20], ' ') ORDER BY doc_id, at) AS nth
+            SELECT doc_id, pos, row_number() OVER (
+                PARTITION BY array_to_string(words[pos + 1 : pos + 20], ' ') ORDER BY doc_id, pos) AS nth
             FROM starts
         ), gone AS (
-            SELECT DISTINCT doc_id, at + k AS at FROM numbered, range(20) r(k) WHERE nth > 1
+            SELECT DISTINCT doc_id, pos + k AS pos FROM numbered, range(20) r(k) WHERE nth > 1
         ), flat AS (
-            SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS at FROM d
+            SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d
         ), kept AS (
-            SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS kept, count(*) AS n
-            FROM flat ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+            SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+            FROM flat ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
         )
         SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
