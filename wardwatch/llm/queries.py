@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import bpe, exact_dedup, packing, quality, substring_dedup, suffix_index, toxicity
+from wardwatch.llm import bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_index, toxicity
 from wardwatch.llm.tables import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), keep_text=False)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeated_bytes(read(spark, sf_dir, "documents"), keep_text=False)
 
@@ -45,6 +49,7 @@ _ALL = (
     op4_substring_dedup,
     op5_packing,
     op6_bpe,
+    op8_ngram_join,
     op9_suffix_array_dedup,
     op10_toxicity,
 )
@@ -86,4 +91,30 @@ ORACLES = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[pos + 1 : pos + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 3, 1))) AS pos FROM d WHERE len(words) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), overlap AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+            FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ), link AS (
+            SELECT a, b FROM overlap JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * both >= 85 * (x.n + y.n - both)
+        ), edge AS (
+            SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+        ), reach AS (
+            SELECT doc_id, doc_id AS seen FROM d
+            UNION
+            SELECT reach.doc_id, b FROM reach JOIN edge ON a = seen
+        )
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id
+        FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+    """,
 }
