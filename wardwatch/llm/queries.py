@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_index, toxicity
+from wardwatch.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_index, toxicity
 from wardwatch.llm.tables import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), keep_text=False)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ _ALL = (
     op4_substring_dedup,
     op5_packing,
     op6_bpe,
+    op7_embedding_dedup,
     op8_ngram_join,
     op9_suffix_array_dedup,
     op10_toxicity,
@@ -117,4 +122,21 @@ ORACLES = {
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id
         FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
     """,
+    "op7_embedding_dedup": r"""
+        WITH RECURSIVE e AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), link AS (
+            SELECT x.vec_id AS a, y.vec_id AS b
+            FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id
+            WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+        ), reach AS (
+            SELECT vec_id, vec_id AS seen FROM e
+            UNION
+            SELECT reach.vec_id, b FROM reach JOIN link ON a = seen
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+        )
+        SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(seen) AS component_id, vec_id = min(seen) AS kept
+        FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+    """,
 }
