@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_index, toxicity
+from wardwatch.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, quality, substring_dedup, suffix_index, toxicity, wrappers
 from wardwatch.llm.tables import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(read(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_exact_dedup,
+    op2_html_extraction,
     op3_quality,
     op4_substring_dedup,
     op5_packing,
@@ -107,11 +112,11 @@ ORACLES = {
         ), n AS (
             SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
         ), overlap AS (
-            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
             FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
         ), link AS (
             SELECT a, b FROM overlap JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-            WHERE 100 * both >= 85 * (x.n + y.n - both)
+            WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
         ), edge AS (
             SELECT a, b FROM link UNION ALL SELECT b, a FROM link
         ), reach AS (
