@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from wardwatch.llm.tables import texts
 
 SCAN_PARTS = 64
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _NO_RANK = 1 << 30
 # The white space of the vocabulary's normaliser, and its word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,7 +55,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.words = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.known: dict[str, list[int]] = {}
+        self.known = Remembered(self._word, REMEMBERED // 2)
 
     def _merge(self, parts: list[int]) -> list[int]:
         merges = self.merges
@@ -100,6 +100,9 @@ class WordBpe:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word of the pattern."""
+        return self.known.one(word)
+
+    def _word(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode()]
         letters[-1] += self.suffix
         parts = [self.ids[x] for x in letters]
@@ -107,6 +110,8 @@ class WordBpe:
 
     def piece(self, piece: str) -> list[int]:
         """Ids of a text; special tokens in it are those tokens."""
+        if piece.isascii() and piece.isalpha():
+            return self.word(piece.lower())
         out: list[int] = []
         for k, part in enumerate(self.cut.split(piece)):
             if k % 2:
@@ -119,42 +124,34 @@ class WordBpe:
         return out
 
 
-class Remembered(dict):
-    """Values of pieces, made for many at once and kept in two generations of about ``limit`` pieces each."""
+class Remembered:
+    """``make(key)`` for each key, kept in two generations of at most ``limit`` keys."""
+
+    def __init__(self, make, limit: int = REMEMBERED):
+        self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
-    def __init__(self, make_many, limit: int = REMEMBERED):
-        super().__init__()
-        self.make_many, self.limit, self.old = make_many, limit, {}
+    def one(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.new) >= self.limit:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value
 
-    def fill(self, lists: list[list[bytes]]) -> None:
-        """After this, every piece of the lists is a key."""
-        need = set().union(*lists)
-        if len(self) + len(need) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        missing = need.difference(self)
-        held = missing.intersection(self.old)
-        for piece in held:
-            self[piece] = self.old[piece]
-        missing = list(missing - held)
-        if missing:
-            self.update(zip(missing, self.make_many(missing)))
+    def all(self, keys: list) -> list:
+        found = list(map(self.new.get, keys))
+        for i in [i for i, value in enumerate(found) if value is None]:
+            found[i] = self.one(keys[i])
+        return found
 
 
-def cut_pieces(column, memory: Remembered, together: int = 1 << 20):
-    """The pieces of each text of an Arrow column, with all of them in the memory when they are given out."""
-    lists, size = [], 0
+def pieces_of(column):
+    """The pieces between ASCII white space of each text of an Arrow column."""
     for text in column:
-        raw = text.as_buffer().to_pybytes()
-        lists.append(raw.split())
-        size += len(raw)
-        if size >= together:
-            memory.fill(lists)
-            yield from lists
-            lists, size = [], 0
-    if lists:
-        memory.fill(lists)
-        yield from lists
+        yield text.as_buffer().to_pybytes().split()
 
 
 _MODELS: dict[str, tuple[WordBpe, Remembered]] = {}
@@ -169,7 +166,7 @@ def model(path: str) -> tuple[WordBpe, Remembered]:
             ids = bpe.piece(piece.decode())
             return len(ids), b" ".join([b"%d" % i for i in ids]), " ".join([bpe.names[i] for i in ids]).encode()
 
-        _MODELS[path] = bpe, Remembered(lambda pieces: map(make, pieces))
+        _MODELS[path] = bpe, Remembered(make)
     return _MODELS[path]
 
 
@@ -197,8 +194,8 @@ def encoded(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
         _, memory = model(path)
         for batch in batches:
             n, ids, back = [], [], []
-            for pieces in cut_pieces(batch.column(1), memory):
-                got = [x for x in map(memory.__getitem__, pieces) if x[0]]
+            for pieces in pieces_of(batch.column(1)):
+                got = [x for x in memory.all(pieces) if x[0]]
                 n.append(sum(x[0] for x in got))
                 ids.append(b" ".join([x[1] for x in got]))
                 back.append(b" ".join([x[2] for x in got]))

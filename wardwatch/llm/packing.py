@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardwatch.llm.bpe import Remembered, cut_pieces
+from wardwatch.llm.bpe import REMEMBERED, Remembered, byte_letters, pieces_of
 from wardwatch.llm.tables import stored, texts
 
 SIZE = 2048
@@ -30,25 +30,39 @@ RANK_GROUPS = 256
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def _token_bytes(path: str):
-    """Per worker: the memory of pieces of text with their ids as little-endian 32-bit words, by the tokenizers library."""
+def _token_bytes(path: str) -> Remembered:
+    """Per worker: the memory of pieces of text with their ids as little-endian 32-bit words, by the tokenizers library.
+
+    A piece of letters, with a comma or full stop at most, is one word for the library's model; words are remembered
+    in lower case. Every other piece goes through the whole tokenizer.
+    """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        model, letters = tokenizer.model, byte_letters()
+
+        def whole(piece: str) -> bytes:
+            return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def make_word(word: str) -> bytes:
+            name = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+            return np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
+
+        words = Remembered(make_word, REMEMBERED // 2)
+        marks = {mark: whole(mark) for mark in ",."}
 
-        def make_many(pieces: list[bytes]) -> list[bytes]:
-            # One call for all: each token goes to the piece its first character lies in.
-            words = [p.decode() for p in pieces]
-            found = tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in words])
-            at = np.searchsorted([a for a, _ in found.offsets], starts)
-            ids = np.array(found.ids, "<u4").tobytes()
-            return [ids[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+        def make(piece: bytes) -> bytes:
+            text = piece.decode()
+            core, mark = (text[:-1], text[-1]) if text[-1] in marks else (text, "")
+            if not core.isalpha() or not (core.isascii() or (core.isprintable() and max(core) < "\u0250")):
+                return whole(text)
+            low = core.lower()
+            return words.one(low) + marks.get(mark, b"") if len(low) == len(core) else whole(text)
 
-        _TOKENIZERS[path] = tokenizer, Remembered(make_many)
+        _TOKENIZERS[path] = tokenizer, Remembered(make)
     return _TOKENIZERS[path][1]
 
 
@@ -66,8 +80,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, w
         memory = _token_bytes(path)
         for batch in batches:
             ids, rows, cut = batch.column(0).to_pylist(), [], []
-            for doc_id, words in zip(ids, cut_pieces(batch.column(1), memory)):
-                whole = b"".join(map(memory.__getitem__, words)) + end
+            for doc_id, words in zip(ids, pieces_of(batch.column(1))):
+                whole = b"".join(memory.all(words)) + end
                 for at in range(0, len(whole), step):
                     part = whole[at : at + step]
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))
