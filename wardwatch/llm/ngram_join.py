@@ -131,15 +131,15 @@ def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         level = level[found.place]
         shared = level > 0
         order = np.lexsort((found.hashes, level, found.text))
-        sums = [np.concatenate([[0], np.cumsum(x)]).astype(np.uint64) for x in (found.hashes, hashing.mixed(found.hashes))]
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (found.hashes, hashing.mixed(found.hashes))]
+        digests = [np.diff(s[found.edges]).astype(np.int64).tolist() for s in sums]
         rows = []
         for k, doc_id in enumerate(found.table.column("doc_id").to_pylist()):
             a, b = found.edges[k], found.edges[k + 1]
-            d1, d2 = (int((s[b] - s[a]).astype(np.int64)) for s in sums)
             mine = order[a:b]
             mine = mine[shared[mine]]
             can = b > a and len(mine) >= _ceil(percent * (b - a), 100)
-            rows.append((doc_id, b - a, d1, d2, found.hashes[mine].tobytes() if can else None, level[mine].tobytes() if can else None))
+            rows.append((doc_id, b - a, digests[0][k], digests[1][k], found.hashes[mine].tobytes() if can else None, level[mine].tobytes() if can else None))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
 
     return parts.docs.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(collect, _SETS_DDL)
