@@ -24,7 +24,7 @@ SPARSENESS = 2
 INDEX_DDL = "shard long, n long, levels binary, bits binary, digests binary, keep_ids binary, points binary, sizes binary"
 GROUP_DDL = "digest binary, keep_id long, points long, size long, seen boolean"
 SPACE = "[\\x20\\x09-\\x0D]+"
-_NULL_ID = np.iinfo(np.int64).max
+_NULL_ID = (1 << 63) - 1
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -38,9 +38,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """Rows combined per digest: the winner has the most code points, then the smallest doc_id (null last)."""
-    low = F.coalesce("doc_id", F.lit(int(_NULL_ID))).cast("decimal(19,0)")
-    order = F.col("points").cast("decimal(12,0)") * F.lit("1e20").cast("decimal(21,0)") - low
+    """Rows combined per digest: the winner has the most code points, then the smallest doc_id.
+
+    A null doc_id counts as the largest number, and is that number in the groups.
+    """
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    order = F.col("points").cast("decimal(12,0)") * F.lit("1e20").cast("decimal(21,0)") - F.col("doc_id").cast("decimal(19,0)")
     return (
         rows.withColumn("order", order.cast("decimal(38,0)"))
         .groupBy("digest")
@@ -100,10 +103,6 @@ def _sharded(groups: DataFrame, shards: int) -> DataFrame:
     return groups.withColumn("shard", F.pmod(head, F.lit(shards)))
 
 
-def _ids(column: pd.Series) -> np.ndarray:
-    return column.fillna(_NULL_ID).astype(np.int64).to_numpy()
-
-
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
     """The index of digest groups (columns of ``groups_of``): one row per shard that has digests."""
 
@@ -111,9 +110,8 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
         rows = _matrix(part["digest"])
         sizes, bits, slot = perfect_hash(rows)
         order = np.argsort(slot)
-        packed = [part[c].astype(np.int64).to_numpy()[order].tobytes() for c in ("points", "size")]
-        keep = _ids(part["keep_id"])[order].tobytes()
-        row = (key[0], len(part), sizes.tobytes(), np.packbits(bits).tobytes(), rows[order].tobytes(), keep, *packed)
+        packed = [part[c].to_numpy(np.int64)[order].tobytes() for c in ("keep_id", "points", "size")]
+        row = (key[0], len(part), sizes.tobytes(), np.packbits(bits).tobytes(), rows[order].tobytes(), *packed)
         return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX_DDL.split(", ")])
 
     return _sharded(groups, shards).groupBy("shard").applyInPandas(build, INDEX_DDL)
@@ -137,16 +135,14 @@ def merge_groups(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
                 rows = _matrix(new["digest"])
                 slot = slots_of(rows, sizes, bits)
                 member = (slot >= 0) & (table[np.maximum(slot, 0)] == rows).all(axis=1)
-                at, ids, n = slot[member], _ids(new["keep_id"])[member], new["points"].to_numpy(np.int64)[member]
+                at, ids, n = slot[member], new["keep_id"].to_numpy(np.int64)[member], new["points"].to_numpy(np.int64)[member]
                 better = (n > points[at]) | ((n == points[at]) & (ids < keep[at]))
                 keep[at[better]], points[at[better]] = ids[better], n[better]
                 size[at] += new["size"].to_numpy(np.int64)[member]
             found.append(pd.DataFrame({"digest": [r.tobytes() for r in table], "keep_id": keep, "points": points, "size": size, "seen": True}))
         if len(new):
-            fresh = new.loc[~member, ["digest", "keep_id", "points", "size"]].assign(seen=False)
-            found.append(fresh.assign(keep_id=_ids(fresh["keep_id"])))
-        out = pd.concat(found, ignore_index=True)
-        return out.assign(keep_id=out["keep_id"].astype("Int64").where(out["keep_id"] != _NULL_ID))
+            found.append(new.loc[~member, ["digest", "keep_id", "points", "size"]].assign(seen=False))
+        return pd.concat(found, ignore_index=True)
 
     held = index.groupBy("shard")
     return held.cogroup(_sharded(groups, shards).groupBy("shard")).applyInPandas(merge, GROUP_DDL)
@@ -170,11 +166,12 @@ def exact_dedup(docs: DataFrame, history_until: int | None = None, shard_digests
     shards = max(1, -(-rows.count() // shard_digests))
     index = stored(build_index(groups_of(rows.where(early)), shards), "digest-index")
     groups = merge_groups(index, groups_of(rows.where(~early)), shards)
+    keep_id = F.when(F.col("keep_id") != _NULL_ID, F.col("keep_id"))
     return rows.join(groups.drop("points"), "digest").select(
         "doc_id",
-        "keep_id",
+        keep_id.alias("keep_id"),
         F.col("size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "seen",
     )
