@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 
 from wardwatch.llm import hashing
 from wardwatch.llm.shared import Dealt, answers, bucket_of, dealt, flags_of, in_order, order_ids, requests_of, runs
-from wardwatch.llm.tables import stored
 
 WIDTH = 20
 FIRST = 10
@@ -167,7 +166,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, first: int = FIRST, keep
     buckets, known, length = parts.buckets, None, first
     while length < width:
         found = answers(_requests(parts, known, length, first, width)).withColumn("level", F.lit(length))
-        found = stored(found, "repeated-windows")
         known = found if known is None else known.unionByName(found)
         length *= 2
     if known is None:
