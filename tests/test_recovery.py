@@ -65,37 +65,39 @@ def test_snapshot_without_commit_is_ignored(spark, monkeypatch):
     assert snapshots.read_latest(spark, folder) is None
     state = recovery.state_as_of(events(spark, random_log(6)), NOW)
     snapshots.write_snapshot(state, folder, 1, NOW)
-    commit = snapshots._commit
 
-    def crash_before_commit(session, path, version, slot, stamp, complete):
-        if complete:
-            raise RuntimeError("lost")
-        commit(session, path, version, slot, stamp, complete)
+    def crash(*_):
+        raise RuntimeError("lost")
 
-    monkeypatch.setattr(snapshots, "_commit", crash_before_commit)
+    monkeypatch.setattr(snapshots, "_commit", crash)
     with pytest.raises(RuntimeError):
         snapshots.write_snapshot(state, folder, 2, NOW)
     assert snapshots.read_latest(spark, folder).version == 1
 
 
-def test_old_slots_are_reused(spark):
+def test_a_held_version_outlives_later_ones_until_it_is_removed(spark):
     folder = new_table_path(spark, "state")
     state = recovery.state_as_of(events(spark, random_log(7, 20)), NOW)
-    for version in range(4):
-        snapshots.write_snapshot(state, folder, version, NOW, slots=2)
-    assert snapshots.read_latest(spark, folder).version == 3
-    assert snapshots.read_latest(spark, folder, before=3).version == 2
-    assert snapshots.read_latest(spark, folder, before=2) is None
-
-
-def test_a_version_does_not_overwrite_the_one_it_is_made_from(spark):
-    folder = new_table_path(spark, "state")
-    rows = random_log(8, 60)
-    snapshots.write_snapshot(recovery.state_as_of(events(spark, rows[:30]), NOW), folder, 0, NOW)
-    for version in (4, 8, 8, 12):
-        previous = snapshots.read_latest(spark, folder, before=version).state
-        merged = recovery.merge_state([previous, recovery.contributions(events(spark, rows[30:]))])
-        snapshots.write_snapshot(merged, folder, version, NOW)
+    snapshots.write_snapshot(state, folder, 0, NOW)
+    held, before = snapshots.read_latest(spark, folder), contents(state)
+    for version in range(1, 7):
+        snapshots.write_snapshot(state, folder, version, NOW, f"w{version}")
+    assert contents(held.state) == before
     latest = snapshots.read_latest(spark, folder)
-    assert latest.version == 12
-    assert contents(latest.state) == contents(recovery.state_as_of(events(spark, rows), NOW))
+    assert (latest.version, latest.writer) == (6, "w6")
+    assert snapshots.read_latest(spark, folder, before=3).version == 2
+    assert snapshots.remove_versions(spark, folder, 5) == 5
+    assert snapshots.read_latest(spark, folder, before=6).version == 5
+    assert snapshots.read_latest(spark, folder, before=5) is None
+    assert snapshots.remove_versions(spark, folder, 100) == 1
+    assert contents(snapshots.read_latest(spark, folder).state) == before
+
+
+def test_some_tables_only(spark):
+    log = events(spark, random_log(8, 60))
+    full = recovery.state_as_of(log, NOW)
+    some = recovery.merge_state([recovery.contributions(log)], tables=("device_last", "room_presence"))
+    again = recovery.merge_state([some, recovery.contributions(log)], tables=("device_last", "room_presence"))
+    for name in ("device_last", "room_presence"):
+        assert sorted(map(str, plain(again[name]))) == sorted(map(str, plain(full[name])))
+    assert set(again) == {"device_last", "room_presence"}

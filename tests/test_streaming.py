@@ -82,15 +82,46 @@ def test_log_restart_reads_only_new_files(spark):
     assert event_log.read_arrivals(spark, f"{base}/log").count() == len(rows)
 
 
-def test_fall_dedup_keeps_one_row_per_key_and_drops_none(spark, job):
+def test_backlog_with_receipts_going_back_loses_no_alarm(spark, job):
     base, batch, _ = job
-    unique = alarm_stream.dedup_falls(event_log.stream_log(spark, f"{base}/log", 1), salts=4)
-    query = unique.select("dedup_key").writeStream.format("memory").queryName("unique_falls").trigger(availableNow=True).start()
+    path, accepted = new_table_path(spark, "back"), accepted_events(batch)
+    rows = event_log.read_arrivals(spark, f"{base}/log").where("outcome = 'accepted'")
+    for low in range(4, -1, -1):
+        part = rows.where(F.pmod(F.unix_seconds("ts") / 1800, F.lit(5)).cast("int") == low)
+        part.coalesce(1).write.mode("append").partitionBy("outcome").parquet(f"{path}/log")
+    query = alarm_stream.start_alarms(
+        spark, f"{path}/log", f"{path}/alarms", f"{path}/checkpoint", max_files_per_trigger=1, counters_path=f"{path}/counters"
+    )
     query.awaitTermination()
-    found = sorted(row.dedup_key for row in spark.table("unique_falls").collect())
-    assert found == sorted(row["dedup_key"] for row in plain(falls.alarms_from_falls(accepted_events(batch))))
-    dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
-    assert dropped and sum(dropped) == 0
+    expected = falls.alarms_from_falls(accepted)
+    stored = alarm_table.read_alarms(spark, f"{path}/alarms")
+    assert len(query.recentProgress) >= 4
+    assert sorted_rows(stored.drop("dispatched_at", "batch", "alarm_date")) == sorted_rows(expected)
+    assert all(row["dispatched_at"] is not None for row in plain(stored))
+    counted = alarm_stream.alarm_counters(spark, f"{path}/counters").agg(F.sum("falls"), F.sum("new_alarms"), F.sum("repeats_in_batch"), F.sum("already_stored")).first()
+    total = falls.keyed_falls(accepted).count()
+    assert tuple(counted) == (total, expected.count(), total - expected.count(), 0)
+
+
+def test_watermark_drops_are_an_error(spark, job):
+    base, _, _ = job
+    stream = ingest.with_event_watermark(event_log.stream_log(spark, f"{base}/log", 1)).groupBy("ts").count()
+    query = stream.writeStream.format("noop").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    ingest.raise_if_dropped(query)
+
+
+def test_a_repeated_alarm_batch_writes_nothing_and_compaction_keeps_rows(spark, job):
+    base, batch, _ = job
+    path, found = new_table_path(spark, "repeat"), falls.alarms_from_falls(accepted_events(batch))
+    alarm_table.store_alarms(found, f"{path}/alarms", "b0")
+    files = sorted(alarm_table.read_alarms(spark, f"{path}/alarms").inputFiles())
+    alarm_table.store_alarms(found, f"{path}/alarms", "b0")
+    alarm_table.store_alarms(found, f"{path}/alarms", "b1")
+    stored = alarm_table.read_alarms(spark, f"{path}/alarms")
+    assert sorted(f for f in stored.inputFiles()) == files or stored.count() == found.count()
+    alarm_table.compact_alarms(spark, f"{path}/alarms", f"{path}/compact")
+    assert sorted_rows(alarm_table.read_alarms(spark, f"{path}/compact")) == sorted_rows(stored)
 
 
 def test_alarm_job_equals_batch_and_survives_checkpoint_loss(spark, job):
@@ -118,17 +149,43 @@ def test_alarm_files_are_ordered_per_room(spark, job):
         assert mine == sorted(mine)
 
 
-def test_running_state_equals_batch(spark, job):
+def test_running_state_equals_batch_after_a_lost_checkpoint(spark, job):
     base, batch, _ = job
-    accepted = accepted_events(batch)
-    for key, updates, expected in (
-        ("room_id", state_stream.current_presence, occupancy.current_presence(accepted, NOW + timedelta(days=1))),
-        ("device_id", state_stream.last_heartbeats, accepted.where("type = 'heartbeat'").groupBy("device_id").agg(F.max("ts").alias("last_heartbeat_ts"))),
-    ):
-        stream = updates(event_log.stream_log(spark, f"{base}/log", 2))
-        path = f"{base}/latest-{key}"
-        state_stream.start_latest(stream, path, f"{path}-checkpoint").awaitTermination()
-        assert sorted_rows(state_stream.read_latest_rows(spark, path, key)) == sorted_rows(expected)
+    accepted, folder = accepted_events(batch), f"{base}/latest"
+    later = NOW + timedelta(days=1)
+    for checkpoint in ("one", "two"):
+        state_stream.start_state(
+            spark, f"{base}/log", folder, f"{base}/latest-{checkpoint}", max_files_per_trigger=2, tables=state_stream.LATEST_TABLES
+        ).awaitTermination()
+        state = snapshots.read_latest(spark, folder).state
+        assert set(state) == set(state_stream.LATEST_TABLES)
+        presence = state["room_presence"].select("room_id", "in_room", "ts")
+        assert sorted_rows(presence) == sorted_rows(occupancy.current_presence(accepted, later))
+        beats = accepted.where("type = 'heartbeat'").groupBy("device_id").agg(F.max("ts").alias("last_heartbeat_ts"))
+        assert sorted_rows(state["device_last"].drop("handled_at")) == sorted_rows(beats)
+
+
+def test_a_new_checkpoint_never_answers_with_less(spark):
+    base, rows = new_table_path(spark, "restart-state"), raw_rows(9, 120)
+    write_files(spark, rows, f"{base}/raw", 3)
+    ingest.start_log(raw_stream(spark, f"{base}/raw"), f"{base}/log", f"{base}/log-checkpoint").awaitTermination()
+    start = lambda name, **more: state_stream.start_state(spark, f"{base}/log", f"{base}/state", f"{base}/{name}", max_files_per_trigger=1, **more)
+    start("first").awaitTermination()
+    full = snapshots.read_latest(spark, f"{base}/state")
+    seen = []
+    write = state_stream.write_snapshot
+
+    def watch(state, folder, version, *rest):
+        write(state, folder, version, *rest)
+        seen.append((version, sorted_rows(snapshots.read_latest(spark, folder).state["room_presence"])))
+
+    state_stream.write_snapshot = watch
+    try:
+        start("second").awaitTermination()
+    finally:
+        state_stream.write_snapshot = write
+    assert [version for version, _ in seen] == list(range(full.version + 1, full.version + 1 + len(seen))) and seen
+    assert all(rows == sorted_rows(full.state["room_presence"]) for _, rows in seen)
 
 
 def test_incremental_state_equals_batch_after_a_crash(spark, job, monkeypatch):

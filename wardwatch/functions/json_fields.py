@@ -12,8 +12,11 @@ _PARSE_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"
 _DIGITS = r"\d+(?:_\d+)*"
 _FLOAT_TEXT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
 
-# An integer literal too long for 64 bits keeps no integer type inside a variant.
-_LONG_SEQ_TEXT = r'"seq"\s*:\s*-?[1-9][0-9]{18,}\s*[,}]'
+# An integer literal too long for 64 bits keeps no integer type inside a variant, but it keeps its spelling as text.
+_INTEGER_TEXT = r"^-?[0-9]+\z"
+
+# A number whose parsed value may be spelled otherwise: with a fraction or an exponent, very long, or not finite.
+_SPELLED_NUMBER = r'(?:"\s*:|[\[,])\s*-?(?:[0-9]+[.eE]|[0-9]{19}|NaN|Infinity)'
 
 
 def with_document(rows: DataFrame, text: Column, name: str = "document") -> DataFrame:
@@ -62,13 +65,30 @@ def required_text(document: Column, name: str) -> Column:
     return F.when((text != "") & (unmistakable | (kind(field(document, name)) == "STRING")), text)
 
 
-def seq_is_valid(document: Column, text: Column) -> Column:
+def spellings(text: Column) -> Column:
+    """Top-level fields of a JSON object as an array of (key, value) in order, with the text of each value.
+
+    NULL when no number in the text can be spelled otherwise than its value, so that most texts are parsed only once.
+    """
+    unmarked = F.regexp_replace(text, "^\ufeff", "")
+    entries = F.map_entries(F.from_json(unmarked, "map<string,string>", _PARSE_OPTIONS))
+    return F.when(text.rlike(_SPELLED_NUMBER), entries)
+
+
+def spelling(spelled: Column, name: Column) -> Column:
+    """The text of a top-level field; of a repeated key the last one, as in the parsed document."""
+    return F.try_element_at(F.filter(spelled, lambda e: e["key"] == name), F.lit(-1))["value"]
+
+
+def seq_is_valid(document: Column, spelled: Column) -> Column:
     """Absent, null, or an integer of any length; a boolean, a float, and a string are not."""
     seq_kind = kind(field(document, "seq"))
     return (
         seq_kind.isNull()
         | seq_kind.isin("VOID", "BIGINT")
-        | ((seq_kind.startswith("DECIMAL") | (seq_kind == "DOUBLE")) & text.rlike(_LONG_SEQ_TEXT))
+        | F.when(
+            seq_kind.startswith("DECIMAL") | (seq_kind == "DOUBLE"), F.coalesce(spelling(spelled, F.lit("seq")).rlike(_INTEGER_TEXT), F.lit(False))
+        ).otherwise(F.lit(False))
     )
 
 
@@ -77,10 +97,32 @@ def seq_value(document: Column) -> Column:
     return F.when(kind(field(document, "seq")) == "BIGINT", F.try_variant_get(document, "$.seq", "bigint"))
 
 
-def payload_text(document: Column) -> Column:
-    """V7: every non-envelope key as a JSON object; types, nulls, and nested values are kept."""
+def _quoted(text: Column) -> Column:
+    inside = F.to_json(F.array(text))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def payload_text(document: Column, spelled: Column) -> Column:
+    """V7: every non-envelope key as a JSON object; types, nulls, nested values, and all digits of numbers are kept.
+
+    A repeated key keeps its last value. Keys come in the order of their names. Zeros at the end of a fraction may go,
+    but a number with a fraction keeps one.
+    """
     entries = document.cast("map<string,variant>")
-    return F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(*ENVELOPE_KEYS)))
+    names = F.filter(F.map_keys(entries), lambda key: ~key.isin(*ENVELOPE_KEYS))
+
+    def member(name: Column) -> Column:
+        value = spelling(spelled, name)
+        value_kind = kind(F.try_element_at(entries, name))
+        # NaN and Infinity come quoted from the reader, but are no strings.
+        bare = F.when(value_kind == "DOUBLE", F.regexp_replace(value, '^"|"$', "")).otherwise(value)
+        return F.concat(
+            _quoted(name), F.lit(":"), F.when(value.isNull(), "null").when(value_kind == "STRING", _quoted(value)).otherwise(bare)
+        )
+
+    whole = F.to_json(F.map_filter(entries, lambda key, _: ~key.isin(*ENVELOPE_KEYS)))
+    rebuilt = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(names), member), ","), F.lit("}"))
+    return F.when(spelled.isNull(), whole).otherwise(rebuilt)
 
 
 def truthy(document: Column, name: str) -> Column:

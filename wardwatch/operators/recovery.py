@@ -13,6 +13,7 @@ the log rows alone. Every merge is a maximum or a set union: order-free and safe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -42,10 +43,13 @@ def contributions(events: DataFrame) -> State:
 
 
 def merge_state(
-    parts: list[State], beat_window: int = BEAT_WINDOW_SECONDS, retain_seconds: int = RETAIN_SECONDS
+    parts: list[State],
+    beat_window: int = BEAT_WINDOW_SECONDS,
+    retain_seconds: int = RETAIN_SECONDS,
+    tables: Sequence[str] = STATE_TABLES,
 ) -> State:
-    """Merge states and contributions into one trimmed state."""
-    rows = {name: reduce(DataFrame.unionByName, [part[name] for part in parts]) for name in STATE_TABLES}
+    """Merge states and contributions into one trimmed state with the given tables."""
+    rows = {name: reduce(DataFrame.unionByName, [part[name] for part in parts if name in part]) for name in STATE_TABLES}
 
     device_last = (
         rows["device_last"]
@@ -86,12 +90,13 @@ def merge_state(
         .where(F.col("ts") > F.col("floor"))
         .select("room_id", "ts", "in_room", "handled_at")
     )
-    return {
+    merged = {
         "device_last": device_last,
         "device_beats": device_beats,
         "room_presence": room_presence,
         "room_transitions": room_transitions,
     }
+    return {name: merged[name] for name in tables}
 
 
 def state_as_of(

@@ -77,15 +77,16 @@ def validate_raw(arrivals: DataFrame, raw: str = "raw", received_at: str = "rece
     document = F.col("document")
     named = arrivals.select(F.col(raw).alias("raw"), F.col(received_at).alias("received_at"))
     parsed = J.with_document(named, F.col("raw"))
-    fields = parsed.select(
+    fields = parsed.withColumn("spelled", F.when(document.isNotNull(), J.spellings(F.col("raw")))).select(
         "raw",
         "received_at",
         "document",
+        "spelled",
         J.required_text(document, "device_id").alias("device_id"),
         J.required_text(document, "room_id").alias("room_id"),
         J.required_text(document, "type").alias("type"),
         J.required_text(document, "ts").alias("ts_text"),
-        J.seq_is_valid(document, F.col("raw")).alias("seq_ok"),
+        J.seq_is_valid(document, F.col("spelled")).alias("seq_ok"),
     )
     incomplete = (
         F.col("device_id").isNull()
@@ -109,7 +110,7 @@ def validate_raw(arrivals: DataFrame, raw: str = "raw", received_at: str = "rece
         "ts",
         "received_at",
         F.when(accepted, J.seq_value(document)).alias("seq"),
-        F.when(accepted, J.payload_text(document)).alias("payload"),
+        F.when(accepted, J.payload_text(document, F.col("spelled"))).alias("payload"),
         "late",
         "priority",
         F.when(accepted & (F.col("type") == "presence"), J.truthy(document, "in_room")).alias("in_room"),

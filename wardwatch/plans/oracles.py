@@ -145,7 +145,8 @@ FROM wire GROUP BY 1, 2""",
        CAST(received_at AS DATE) AS event_date
 FROM accepted""",
     "s4_log_since": _with(_FEED)
-    + f"SELECT device_id, type, ts, received_at, seq, late FROM accepted WHERE received_at >= {_SNAPSHOT} ORDER BY ts",
+    + f"""SELECT row_number() OVER (ORDER BY ts, received_at, seq) AS position, device_id, type, ts, received_at, seq, late
+FROM accepted WHERE received_at >= {_SNAPSHOT}""",
     "s5_alarm_insert_ignore": _with(_FEED, _FALLS, _EARLY_ALARMS)
     + """SELECT CAST(ts AS DATE) AS alarm_date, batch, count(*) AS alarms, count(DISTINCT dedup_key) AS keys
 FROM (SELECT ts, dedup_key, 'first' AS batch FROM early
@@ -192,13 +193,16 @@ FROM events""",
     "v12_replay_tolerant": _with(_FEED)
     + "SELECT type, seq % 7 NOT IN (1, 2, 3, 4) AS readable, count(*) AS rows FROM accepted GROUP BY 1, 2",
     "o1_device_order": _with(_FEED)
-    + "SELECT device_id, ts, received_at, seq, type FROM accepted ORDER BY device_id, ts, received_at, seq",
+    + """SELECT row_number() OVER (PARTITION BY device_id ORDER BY ts, received_at, seq) AS position,
+       device_id, ts, received_at, seq, type
+FROM accepted""",
     "o2_room_alarm_order": _with(_FEED, _FALLS)
     + """SELECT room_id, row_number() OVER (PARTITION BY room_id ORDER BY ts, received_at, dedup_key) AS position, ts, dedup_key
 FROM alarms""",
     "o3_priority_order": _with(_FEED)
-    + """SELECT CASE WHEN type = 'fall_warn' THEN 'high' ELSE 'normal' END AS priority, received_at, seq, device_id, type
-FROM accepted ORDER BY type <> 'fall_warn', received_at, seq""",
+    + """SELECT row_number() OVER (PARTITION BY type = 'fall_warn' ORDER BY received_at, seq) AS position,
+       CASE WHEN type = 'fall_warn' THEN 'high' ELSE 'normal' END AS priority, received_at, seq, device_id, type
+FROM accepted""",
     "a1_last_heartbeat": _with(_FEED, _VISIBLE)
     + "SELECT device_id, max(ts) AS last_heartbeat_ts FROM beats GROUP BY device_id",
     "a2_recent_beats": _with(_FEED, _VISIBLE)
@@ -263,20 +267,27 @@ walk AS (
     )
     + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
     "f5_alarms_since": _with(_FEED, _FALLS)
-    + f"SELECT device_id, room_id, ts, round(confidence, 6) AS confidence, received_at FROM alarms WHERE ts >= {_SNAPSHOT} ORDER BY ts",
+    + f"""SELECT row_number() OVER (ORDER BY ts, received_at, dedup_key) AS position,
+       device_id, room_id, ts, round(confidence, 6) AS confidence, received_at
+FROM alarms WHERE ts >= {_SNAPSHOT}""",
     "f5_alarms_since_room": _with(_FEED, _FALLS)
-    + f"""SELECT device_id, room_id, ts, round(confidence, 6) AS confidence, received_at
-FROM alarms WHERE ts >= {_SNAPSHOT} AND room_id = 'room_003' ORDER BY ts""",
+    + f"""SELECT row_number() OVER (ORDER BY ts, received_at, dedup_key) AS position,
+       device_id, room_id, ts, round(confidence, 6) AS confidence, received_at
+FROM alarms WHERE ts >= {_SNAPSHOT} AND room_id = 'room_003'""",
     "f6_alarm_feed": _with(_FEED, _FALLS)
     + f"""SELECT device_id, room_id, ts, received_at, dedup_key,
        CASE WHEN received_at >= {_SNAPSHOT} THEN 'live' ELSE 'history' END AS phase
 FROM alarms WHERE room_id = 'room_003' AND (received_at >= {_SNAPSHOT} OR ts >= TIMESTAMP '2024-01-10 00:00:00')""",
-    "f7_reconcile": _with(_FEED, _FALLS, _EARLY_ALARMS)
-    + """SELECT CAST(f.ts AS DATE) AS fall_date, f.room_id, count(DISTINCT e.dedup_key) AS alarms,
-       count(DISTINCT f.dedup_key) AS expected,
-       count(DISTINCT e.dedup_key) - count(DISTINCT f.dedup_key) AS delta,
-       CASE WHEN count(DISTINCT e.dedup_key) < count(DISTINCT f.dedup_key) THEN 'miss' ELSE 'match' END AS verdict
-FROM falls f LEFT JOIN early e ON e.dedup_key = f.dedup_key GROUP BY 1, 2""",
+    "f6_stream_feed": _with(_FEED, _FALLS)
+    + f"""SELECT device_id, room_id, ts, received_at, dedup_key,
+       CASE WHEN received_at >= {_SNAPSHOT} THEN 'live' ELSE 'history' END AS phase
+FROM alarms WHERE room_id = 'room_003' AND (received_at >= {_SNAPSHOT} OR ts >= TIMESTAMP '2024-01-10 00:00:00')""",
+    "f7_reconcile": _with(_FEED, _FALLS)
+    + f"""SELECT fall_date, room_id, alarms, expected, alarms - expected AS delta,
+       CASE WHEN alarms > expected THEN 'leak' WHEN alarms < expected THEN 'miss' ELSE 'match' END AS verdict
+FROM (SELECT CAST(ts AS DATE) AS fall_date, room_id, count(*) AS expected,
+             CAST(sum(CASE WHEN room_id = 'room_003' THEN 2 WHEN room_id = 'room_004' AND received_at >= {_SNAPSHOT} THEN 0 ELSE 1 END) AS BIGINT) AS alarms
+      FROM alarms GROUP BY 1, 2)""",
     "m1_ingest_counters": _with(_FEED)
     + """SELECT 'events_ingested_total' AS counter, count(*) AS value FROM wire
 UNION ALL SELECT 'events_late', count(*) FROM wire WHERE reason IS NULL AND late
@@ -307,6 +318,10 @@ placed AS (SELECT ms, row_number() OVER (ORDER BY ms) AS n, count(*) OVER () AS
 FROM placed""",
     "r1_state_as_of": _STATE_SQL,
     "r2_restore_equals_full": _STATE_SQL,
+    "s6_snapshot_versions": _with(
+        _FEED, _VISIBLE.replace("WHERE received_at <=", f"WHERE received_at < {_SNAPSHOT} AND received_at <="), _CURRENT, _RETAINED, _STATE
+    )
+    + "SELECT state_table, entity_id, ts, in_room FROM state",
     "r3_fall_replay": _with(_FEED, _FALLS, _EARLY_ALARMS)
     + """SELECT dedup_key, 'inserted' AS outcome, CAST(1 AS BIGINT) AS events FROM alarms WHERE dedup_key NOT IN (SELECT dedup_key FROM early)
 UNION ALL
@@ -317,12 +332,14 @@ SELECT dedup_key, 'db_conflict', count(*) FROM falls WHERE dedup_key IN (SELECT
        CASE WHEN reason IS NULL THEN late END AS late, count(*) AS events
 FROM wire GROUP BY 1, 2, 3, 4""",
     "t3_stream_fall_dedup": _with(_FEED, _FALLS)
-    + """SELECT DISTINCT dedup_key, device_id, room_id FROM falls WHERE seq IN (SELECT seq FROM wired)""",
+    + """SELECT dedup_key, device_id, room_id, ts, round(confidence, 6) AS confidence, received_at
+FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13 <> 0)""",
     "t4_stream_presence": _with(_FEED, _WIRED_VISIBLE, _CURRENT) + "SELECT room_id, in_room, ts FROM current_presence",
     "t5_stream_state": _with(_FEED, _WIRED_VISIBLE, _CURRENT, _RETAINED, _STATE)
     + "SELECT state_table, entity_id, ts, in_room FROM state",
     # The stream reads the wire records, so spoiled events raise no alarm. Copies of an event are spoiled together.
     "t7_stream_alarms": _with(_FEED, _FALLS)
-    + """SELECT device_id, room_id, ts, round(confidence, 6) AS confidence, received_at, dedup_key
+    + """SELECT row_number() OVER (PARTITION BY room_id ORDER BY ts, received_at, dedup_key) AS position,
+       device_id, room_id, ts, round(confidence, 6) AS confidence, received_at, dedup_key
 FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13 <> 0)""",
 }

@@ -36,6 +36,7 @@ WEEK = 7 * DAY
 BEAT_INTERVAL = 43_200.0
 RETENTION = 2 * DAY
 WINDOWS = ("1440m", "168h", "2419200", "0", "-5m", "soon", "1d")
+PARSE_TASKS = 8
 ALARMS_SINCE = 1705708800.0  # 2024-01-20 00:00:00 UTC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +108,8 @@ def s3_event_log(spark, sf_dir):
 @query
 def s4_log_since(spark, sf_dir):
     rows = event_log.log_since(_stored_log(spark, sf_dir), SNAPSHOT_TS)
-    return rows.select("device_id", "type", "ts", "received_at", "seq", "late")
+    placed = ordering.with_positions(rows, [], "ts", ["received_at", F.col("seq").asc_nulls_first()], DAY)
+    return placed.select("position", "device_id", "type", "ts", "received_at", "seq", "late")
 
 
 @query
@@ -261,7 +263,8 @@ def v12_replay_tolerant(spark, sf_dir):
 
 @query
 def o1_device_order(spark, sf_dir):
-    return ordering.device_order(feed_events(spark, sf_dir)).select("device_id", "ts", "received_at", "seq", "type")
+    placed = ordering.device_positions(feed_events(spark, sf_dir), DAY)
+    return placed.select("position", "device_id", "ts", "received_at", "seq", "type")
 
 
 @query
@@ -273,7 +276,8 @@ def o2_room_alarm_order(spark, sf_dir):
 
 @query
 def o3_priority_order(spark, sf_dir):
-    return ordering.priority_order(feed_events(spark, sf_dir)).select("priority", "received_at", "seq", "device_id", "type")
+    placed = ordering.priority_positions(feed_events(spark, sf_dir), DAY)
+    return placed.select("position", "priority", "received_at", "seq", "device_id", "type")
 
 
 # Device health
@@ -369,16 +373,19 @@ def f3_fall_outcomes(spark, sf_dir):
     return falls.fall_outcomes(feed_events(spark, sf_dir))
 
 
+def _listed(alarms: DataFrame) -> DataFrame:
+    placed = ordering.with_positions(alarms, [], "ts", ["received_at", "dedup_key"], DAY)
+    return placed.select("position", "device_id", "room_id", "ts", _six("confidence"), "received_at")
+
+
 @query
 def f5_alarms_since(spark, sf_dir):
-    alarms = falls.alarms_since(_alarms(spark, sf_dir), ALARMS_SINCE)
-    return alarms.select("device_id", "room_id", "ts", _six("confidence"), "received_at")
+    return _listed(falls.alarms_since(_alarms(spark, sf_dir), ALARMS_SINCE))
 
 
 @query
 def f5_alarms_since_room(spark, sf_dir):
-    alarms = falls.alarms_since(_alarms(spark, sf_dir), ALARMS_SINCE, room_id="room_003")
-    return alarms.select("device_id", "room_id", "ts", _six("confidence"), "received_at")
+    return _listed(falls.alarms_since(_alarms(spark, sf_dir), ALARMS_SINCE, room_id="room_003"))
 
 
 @query
@@ -389,8 +396,11 @@ def f6_alarm_feed(spark, sf_dir):
 
 @query
 def f7_reconcile(spark, sf_dir):
-    # The alarms of the first days only, so that later days show misses.
-    return falls.reconcile(feed_events(spark, sf_dir), _alarms_before(spark, sf_dir, SNAPSHOT_TS))
+    # Every alarm, except that one room has each twice (leaks) and another has none from a day on (misses).
+    alarms = _alarms(spark, sf_dir)
+    lost = (F.col("room_id") == "room_004") & (F.col("received_at") >= SNAPSHOT_TS)
+    raised = alarms.where(~lost).unionByName(alarms.where(F.col("room_id") == "room_003"))
+    return falls.reconcile(feed_events(spark, sf_dir), raised)
 
 
 # Metrics
@@ -407,11 +417,12 @@ def m2_fall_counters(spark, sf_dir):
 
 
 def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alarms with a dispatch time up to about a second after, some just before, their receipt."""
+    """The stored alarms, dispatched up to about a second after, some just before, their receipt."""
+    path = new_table_path(spark, "dispatched")
     delay = (F.unix_micros("ts") % 1009 - 20) * 1000 + F.unix_micros("ts") % 997
-    return _alarms(spark, sf_dir).withColumn(
-        "dispatched_at", F.timestamp_micros(F.unix_micros("received_at") + delay)
-    )
+    moment = F.timestamp_micros(F.unix_micros("received_at") + delay)
+    alarm_table.store_alarms(_alarms(spark, sf_dir), path, "only", moment)
+    return alarm_table.read_alarms(spark, path)
 
 
 @query
@@ -444,6 +455,20 @@ def r2_restore_equals_full(spark, sf_dir):
     return recovery.state_rows(restored)
 
 
+@query
+def s6_snapshot_versions(spark, sf_dir):
+    log = feed_events(spark, sf_dir)
+    folder = new_table_path(spark, "versions")
+    first = recovery.state_as_of(log.where(F.col("received_at") < SNAPSHOT_TS), AS_OF, WEEK, RETENTION)
+    snapshots.write_snapshot(first, folder, 1, SNAPSHOT_TS)
+    held = snapshots.read_latest(spark, folder)
+    small = {"device_last": held.state["device_last"].limit(0)}
+    for version in range(2, 8):
+        snapshots.write_snapshot(small, folder, version, AS_OF)
+    # Read after six later versions.
+    return recovery.state_rows(held.state)
+
+
 @query
 def r3_fall_replay(spark, sf_dir):
     log = feed_events(spark, sf_dir)
@@ -463,10 +488,21 @@ def r3_fall_replay(spark, sf_dir):
 def _stream_log(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "stream-log")
     raw = wire_json(adapt(stream_source_events(spark, sf_dir))).select("raw", "received_at")
-    ingest.start_log(raw, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    ingest.start_log(raw, f"{path}/table", f"{path}/checkpoint", parse_tasks=PARSE_TASKS).awaitTermination()
     return f"{path}/table"
 
 
+def _backlog(spark: SparkSession, sf_dir: str) -> str:
+    """The log with its days written from the last to the first, one file each: as a stream, receipts go back."""
+    log = event_log.read_arrivals(spark, _stream_log(spark, sf_dir)).where(F.col("outcome") == "accepted")
+    path = new_table_path(spark, "backlog")
+    third = F.pmod(F.dayofmonth("ts"), F.lit(3))
+    for part in (2, 1, 0):
+        # Copies of a fall share the second, and so the part.
+        log.where(third == part).coalesce(1).write.mode("append").partitionBy("outcome").parquet(path)
+    return path
+
+
 @query
 def t1_stream_validate(spark, sf_dir):
     log = event_log.read_arrivals(spark, _stream_log(spark, sf_dir))
@@ -475,37 +511,37 @@ def t1_stream_validate(spark, sf_dir):
 
 @query
 def t3_stream_fall_dedup(spark, sf_dir):
-    log = _stream_log(spark, sf_dir)
     path = new_table_path(spark, "stream-dedup")
-    unique = alarm_stream.dedup_falls(event_log.stream_log(spark, log)).select("dedup_key", "device_id", "room_id")
-    (
-        unique.writeStream.format("parquet")
-        .option("path", f"{path}/table")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
+    alarm_stream.start_alarms(
+        spark, _backlog(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", max_files_per_trigger=1
+    ).awaitTermination()
+    return alarm_table.read_alarms(spark, f"{path}/table").select(
+        "dedup_key", "device_id", "room_id", "ts", _six("confidence"), "received_at"
     )
-    return spark.read.schema("dedup_key STRING, device_id STRING, room_id STRING").parquet(f"{path}/table")
+
+
+def _run_state_twice(spark: SparkSession, log: str, tables) -> dict[str, DataFrame]:
+    """The state after part of the log, a lost checkpoint, and the log from its beginning, a file per batch."""
+    path = new_table_path(spark, "stream-state")
+    part = new_table_path(spark, "first-part")
+    spark.read.parquet(log).where(F.dayofmonth("ts") % 2 == 0).write.partitionBy("outcome").parquet(part)
+    for source, checkpoint in ((part, "lost"), (log, "new")):
+        state_stream.start_state(
+            spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, 1, tables
+        ).awaitTermination()
+    return snapshots.read_latest(spark, f"{path}/state").state
 
 
 @query
 def t4_stream_presence(spark, sf_dir):
-    log = _stream_log(spark, sf_dir)
-    path = new_table_path(spark, "stream-presence")
-    updates = state_stream.current_presence(event_log.stream_log(spark, log))
-    state_stream.start_latest(updates, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return state_stream.read_latest_rows(spark, f"{path}/table", "room_id")
+    return _run_state_twice(spark, _backlog(spark, sf_dir), state_stream.LATEST_TABLES)["room_presence"].select(
+        "room_id", "in_room", "ts"
+    )
 
 
 @query
 def t5_stream_state(spark, sf_dir):
-    log = _stream_log(spark, sf_dir)
-    folder = new_table_path(spark, "stream-state")
-    state_stream.start_state(
-        spark, log, f"{folder}/state", f"{folder}/checkpoint", WEEK, RETENTION
-    ).awaitTermination()
-    return recovery.state_rows(snapshots.read_latest(spark, f"{folder}/state").state)
+    return recovery.state_rows(_run_state_twice(spark, _backlog(spark, sf_dir), recovery.STATE_TABLES))
 
 
 @query
@@ -513,6 +549,31 @@ def t7_stream_alarms(spark, sf_dir):
     log = _stream_log(spark, sf_dir)
     path = new_table_path(spark, "stream-alarms")
     alarm_stream.start_alarms(spark, log, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return alarm_table.read_alarms(spark, f"{path}/table").select(
-        "device_id", "room_id", "ts", _six("confidence"), "received_at", "dedup_key"
-    )
+    alarms = ordering.room_alarm_positions(alarm_table.read_alarms(spark, f"{path}/table"), DAY)
+    return alarms.select("position", "device_id", "room_id", "ts", _six("confidence"), "received_at", "dedup_key")
+
+
+@query
+def f6_stream_feed(spark, sf_dir):
+    path = new_table_path(spark, "feed")
+    alarms = _alarms(spark, sf_dir)
+    early = alarms.where(F.col("received_at") < SNAPSHOT_TS)
+
+    def read_feed() -> None:
+        (
+            alarm_stream.room_feed(spark, f"{path}/table", "room_003", SNAPSHOT_TS, since="2024-01-10 00:00:00")
+            .writeStream.format("parquet")
+            .option("path", f"{path}/seen")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    alarm_table.store_alarms(early, f"{path}/table", "first")
+    read_feed()
+    alarm_table.store_alarms(early, f"{path}/table", "first")  # a batch that is repeated
+    alarm_table.store_alarms(alarms, f"{path}/table", "second")
+    read_feed()
+    seen = spark.read.parquet(f"{path}/seen")
+    return seen.select("device_id", "room_id", "ts", "received_at", "dedup_key", "phase")

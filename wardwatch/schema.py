@@ -13,8 +13,6 @@ DEDUP_TTL_SECONDS = 10
 LATENCY_SAMPLES = 5000
 WATERMARK = "2 hours"
 ENVELOPE_KEYS = ("device_id", "room_id", "type", "ts", "seq")
-STATEFUL_TYPES = ("heartbeat", "presence", "fall_warn")
-KNOWN_TYPES = ("heartbeat", "presence", "motion", "sleep_state", "fall_warn", "net_status")
 
 MICROS = 1_000_000
 

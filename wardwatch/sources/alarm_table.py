@@ -1,13 +1,16 @@
-"""The alarm table: insert-or-ignore sink and readers."""
+"""The alarm table: insert-or-ignore sink, compaction, and readers.
+
+A row is written once and never again, so a stream over the table gives every alarm once.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardwatch.schema import ALARM_COLUMNS, ALARM_DDL
 
-STORED_DDL = ALARM_DDL + ", alarm_date DATE, batch STRING"
+STORED_DDL = ALARM_DDL + ", dispatched_at TIMESTAMP, batch STRING, alarm_date DATE"
 
 
 def insert_or_ignore(candidates: DataFrame, alarms: DataFrame) -> DataFrame:
@@ -30,29 +33,39 @@ def stream_alarms(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(STORED_DDL).parquet(path).select(*ALARM_COLUMNS)
 
 
-def store_alarms(candidates: DataFrame, path: str, batch: str) -> None:
-    """Store new alarms of one batch, ordered per room.
+def _write(rows: DataFrame, path: str) -> None:
+    (
+        rows.repartitionByRange("alarm_date", "room_id", "ts")
+        .sortWithinPartitions("alarm_date", "room_id", "ts", "received_at", "dedup_key")
+        .write.mode("append")
+        .partitionBy("alarm_date")
+        .parquet(path)
+    )
+
+
+def store_alarms(candidates: DataFrame, path: str, batch: str, dispatched_at: Column | None = None) -> None:
+    """Append the alarms of one batch that are not stored, ordered per room.
 
     The key fixes the second of the alarm, so only alarm dates between the oldest and the newest candidate can
-    hold the same key; the scan of the stored table is limited to them. ``batch`` names the writer and its batch:
-    rows of this very batch from an earlier attempt are ignored and overwritten, so a repeated batch stores
-    the same rows once, while rows of another writer are never touched.
+    hold the same key; the scan of the stored table is limited to them. A repeated batch finds its own rows and
+    writes nothing; after a half-written one only the missing rows are added. ``dispatched_at`` (M3) is the time of
+    the write unless given.
     """
     spark = candidates.sparkSession
     oldest, newest = candidates.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
     if oldest is None:
         return
-    earlier = read_alarms(spark, path).where(
-        F.col("alarm_date").between(F.lit(oldest), F.lit(newest)) & (F.col("batch") != batch)
-    )
-    (
-        insert_or_ignore(candidates, earlier)
-        .withColumn("alarm_date", F.to_date("ts"))
-        .withColumn("batch", F.lit(batch))
-        .repartitionByRange("alarm_date", "room_id", "ts")
-        .sortWithinPartitions("alarm_date", "room_id", "ts", "received_at", "dedup_key")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("alarm_date", "batch")
-        .parquet(path)
+    stored = read_alarms(spark, path).where(F.col("alarm_date").between(F.lit(oldest), F.lit(newest)))
+    moment = F.current_timestamp() if dispatched_at is None else dispatched_at
+    fresh = insert_or_ignore(candidates, stored).select(
+        *ALARM_COLUMNS, moment.alias("dispatched_at"), F.lit(batch).alias("batch"), F.to_date("ts").alias("alarm_date")
     )
+    _write(fresh, path)
+
+
+def compact_alarms(spark: SparkSession, path: str, target: str) -> None:
+    """The same alarms in few large files under a new path, clustered by date and room.
+
+    The old table stays as it is for streams that read it; switch readers and the job over while the job is stopped.
+    """
+    _write(read_alarms(spark, path), target)

@@ -5,42 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardwatch.operators.falls import alarm_feed, alarms_from_falls, keyed_falls
-from wardwatch.sources.alarm_table import store_alarms, stream_alarms
+from wardwatch.operators.falls import alarm_feed, alarms_from_falls
+from wardwatch.sources.alarm_table import insert_or_ignore, read_alarms, store_alarms, stream_alarms
 from wardwatch.sources.event_log import stream_log
-from wardwatch.streaming.ingest import with_event_watermark
 
-
-def dedup_falls(events: DataFrame, salts: int = 16) -> DataFrame:
-    """Falls with one row per dedup key, exact with bounded state.
-
-    Copies of a key share a second, so none outlives the watermark. A first pass per (key, salt) spreads a
-    key with very many copies over ``salts`` tasks; the second pass sees at most ``salts`` rows per key.
-    """
-    keyed = with_event_watermark(keyed_falls(events)).withColumn(
-        "salt", F.pmod(F.xxhash64("device_id", "room_id", "ts", "received_at", "seq"), F.lit(salts))
-    )
-    spread = keyed.dropDuplicatesWithinWatermark(["dedup_key", "salt"])
-    return spread.dropDuplicatesWithinWatermark(["dedup_key"]).drop("salt")
+COUNTER_DDL = "batch STRING, falls BIGINT, new_alarms BIGINT, repeats_in_batch BIGINT, already_stored BIGINT"
 
 
 def start_alarms(
-    spark: SparkSession, log_path: str, alarm_path: str, checkpoint: str, max_files_per_trigger: int = 1000, **trigger
+    spark: SparkSession,
+    log_path: str,
+    alarm_path: str,
+    checkpoint: str,
+    max_files_per_trigger: int = 1000,
+    counters_path: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Alarms from the log into the alarm table.
 
-    Copies inside a batch are combined first, then checked against the stored alarms, so the table stays
-    free of duplicates even when the checkpoint is lost and the log is read again.
+    Copies inside a batch are combined first, then checked against the stored alarms. There is no watermark, so
+    falls may come in any order of receipt and none is dropped, and the table stays free of duplicates even when
+    the checkpoint is lost and the log is read again. With ``counters_path`` the counters of each batch (M2) are
+    written there.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         # Kept in the checkpoint: the same on restart, new when the checkpoint is new.
-        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        candidates = alarms_from_falls(batch).persist()
+        name = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        falls = batch.persist()
+        candidates = alarms_from_falls(falls).persist()
         try:
-            store_alarms(candidates, alarm_path, f"{query_id}-{batch_id}")
+            if counters_path is not None:
+                # Before the write: a batch that is repeated afterwards counts its own alarms as stored.
+                stored = read_alarms(session, alarm_path).where(F.col("batch") != name)
+                numbers = falls.agg(F.count_if(F.col("confidence").isNotNull()).alias("falls")).crossJoin(
+                    candidates.agg(F.count("*").alias("keys"))
+                ).crossJoin(insert_or_ignore(candidates, stored).agg(F.count("*").alias("fresh")))
+                numbers.select(
+                    F.lit(name).alias("batch"),
+                    "falls",
+                    F.col("fresh").alias("new_alarms"),
+                    (F.col("falls") - F.col("keys")).alias("repeats_in_batch"),
+                    (F.col("keys") - F.col("fresh")).alias("already_stored"),
+                ).coalesce(1).write.mode("overwrite").parquet(f"{counters_path}/{name}")
+            store_alarms(candidates, alarm_path, name)
         finally:
             candidates.unpersist()
+            falls.unpersist()
 
     falls = stream_log(spark, log_path, max_files_per_trigger).where(F.col("type") == "fall_warn")
     return (
@@ -51,6 +63,11 @@ def start_alarms(
     )
 
 
+def alarm_counters(spark: SparkSession, counters_path: str) -> DataFrame:
+    """M2 of the running job: one row per batch."""
+    return spark.read.schema(COUNTER_DDL).parquet(f"{counters_path}/*")
+
+
 def room_feed(spark: SparkSession, alarm_path: str, room_id: str, start, since: str | None = None) -> DataFrame:
     """feed of one room as a stream; stored alarms and new ones come from the same table, without a gap."""
     return alarm_feed(stream_alarms(spark, alarm_path), room_id, start, since)

@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardwatch.operators.occupancy import presence_rank
-from wardwatch.operators.recovery import contributions, merge_state
+from wardwatch.operators.recovery import STATE_TABLES, contributions, merge_state
 from wardwatch.schema import BEAT_WINDOW_SECONDS, RETAIN_SECONDS
 from wardwatch.sources.event_log import stream_log
 from wardwatch.sources.snapshots import read_latest, write_snapshot
 
-
-def last_heartbeats(events: DataFrame) -> DataFrame:
-    """T4, A1: running last heartbeat per device, for update mode."""
-    beats = events.where(F.col("type") == "heartbeat")
-    return beats.groupBy("device_id").agg(F.max("ts").alias("last_heartbeat_ts"))
-
-
-def current_presence(events: DataFrame) -> DataFrame:
-    """T4, A5: running presence per room, for update mode. Combined on the map side before the state."""
-    presence = events.where(F.col("type") == "presence")
-    rank = presence_rank(F.col("ts"), F.col("received_at"), F.col("seq"), F.col("in_room"))
-    return (
-        presence.groupBy("room_id").agg(F.max(rank).alias("latest")).select("room_id", "latest.in_room", "latest.ts")
-    )
-
-
-def start_latest(updates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """T4 sink: the changed keys of each batch as one folder; a repeated batch overwrites its own folder."""
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        updates.writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def read_latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest stored row per key."""
-    stored = spark.read.parquet(path)
-    values = [name for name in stored.columns if name not in (key, "batch_id")]
-    newest = stored.groupBy(key).agg(F.max(F.struct("batch_id", *values)).alias("newest"))
-    return newest.select(key, *[f"newest.{name}" for name in values])
+#: T4: one row per device and one per room.
+LATEST_TABLES = ("device_last", "room_presence")
 
 
 def start_state(
@@ -58,24 +24,35 @@ def start_state(
     beat_window: int = BEAT_WINDOW_SECONDS,
     retain_seconds: int = RETAIN_SECONDS,
     max_files_per_trigger: int = 1000,
+    tables: Sequence[str] = STATE_TABLES,
     **trigger,
 ) -> StreamingQuery:
-    """T5: keep the four state tables current from the log.
+    """T5: keep the state tables current from the log; T4 with ``tables=LATEST_TABLES``.
 
-    Each batch merges the previous version with its own rows and writes version ``batch_id``. A repeated
-    batch starts from the same previous version and writes the same one again. Versions are counted by the
-    checkpoint, so a new checkpoint goes with a new state folder.
+    Each batch merges the newest version with its own rows into the next version. Values are ranked by their own
+    times and every merge may be repeated, so a lost or new checkpoint on the same folder starts from the state
+    that is there, reads the log again, and never answers with less than it knew. The commit names the batch;
+    a batch that is repeated after its commit writes nothing.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        writer = f"{query_id}-{batch_id}"
+        previous = read_latest(batch.sparkSession, state_folder)
+        if previous is not None and previous.writer == writer:
+            return
         rows = batch.persist()
         try:
             newest = rows.agg(F.date_format(F.max("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
             if newest is None:
                 return
-            previous = read_latest(batch.sparkSession, state_folder, before=batch_id)
-            parts = [contributions(rows)] if previous is None else [previous.state, contributions(rows)]
-            write_snapshot(merge_state(parts, beat_window, retain_seconds), state_folder, batch_id, newest)
+            parts, version, stamp = [contributions(rows)], 0, newest
+            if previous is not None:
+                parts.insert(0, previous.state)
+                version = previous.version + 1
+                stamp = max(newest, previous.snapshot_ts.strftime("%Y-%m-%d %H:%M:%S.%f"))
+            merged = merge_state(parts, beat_window, retain_seconds, tables)
+            write_snapshot(merged, state_folder, version, stamp, writer)
         finally:
             rows.unpersist()
 
