@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from wardwatch.functions.timeline import as_of_micros, shift
+from wardwatch.functions.timeline import as_of_micros, shift, time_slice
 from wardwatch.functions.windows import window_seconds as parse_window
 from wardwatch.operators.health import visible
 from wardwatch.schema import ANCHOR_SLACK_MICROS, MICROS, RETAIN_SECONDS
@@ -62,19 +62,34 @@ def transitions(events: DataFrame, as_of) -> DataFrame:
     return presence_events(events, as_of).select("room_id", "ts", "in_room").distinct()
 
 
-def retention_floor(points: DataFrame, retain_seconds: int) -> DataFrame:
-    """Per room, the exclusive lower bound of the transitions that are kept.
+def retained_points(points: DataFrame, retain_seconds: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """The points a room keeps, with ``handled_at``, the last receipt of the room.
 
-    ``points`` has one row per transition with the time it was last received. The cutoff is the room's
-    last receipt minus the retention; the newest transition at or before it is the anchor and stays.
+    ``points`` has one row per (room_id, ts, in_room) with the time it was last received as ``received_at``. The cutoff is
+    the room's last receipt minus the retention; the newest point at or before it is the anchor and stays.
+
+    Every join is on (room, time slice), so the points of a hot room are spread over its slices; only one row per
+    slice meets in the windows of a room. Both conditions on ``received_at`` always hold: they keep the three uses of
+    ``points`` alike, so that one scan and one exchange serve all of them.
     """
-    cutoffs = points.groupBy("room_id").agg(shift(F.max("received_at"), -retain_seconds).alias("cutoff"))
-    old = points.join(cutoffs, "room_id").where(F.col("ts") <= F.col("cutoff"))
-    anchors = old.groupBy("room_id").agg(F.max("ts").alias("anchor"))
-    slack = F.timestamp_micros(F.unix_micros(F.col("anchor")) - ANCHOR_SLACK_MICROS)
-    return cutoffs.join(anchors, "room_id", "left").select(
-        "room_id", F.coalesce(slack, F.col("cutoff")).alias("floor")
+    keys = ["room_id", "slice"]
+    of_room = Window.partitionBy("room_id")
+    sliced = points.withColumn("slice", time_slice(F.col("ts"), slice_seconds))
+    receipts = sliced.groupBy(*keys).agg(F.max("received_at").alias("last")).withColumn("handled_at", F.max("last").over(of_room))
+    anchored = (
+        sliced.join(receipts.drop("last"), keys)
+        .withColumn("cutoff", shift(F.greatest("handled_at", "received_at"), -retain_seconds))
+        .groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("ts") <= F.col("cutoff"), F.col("ts"))).alias("anchor"),
+            F.max("cutoff").alias("cutoff"),
+            F.max("handled_at").alias("handled_at"),
+        )
     )
+    slack = F.timestamp_micros(F.unix_micros(F.max("anchor").over(of_room)) - ANCHOR_SLACK_MICROS)
+    floors = anchored.select(*keys, "handled_at", F.coalesce(slack, F.col("cutoff")).alias("floor"))
+    kept = sliced.join(floors, keys).where((F.col("ts") > F.col("floor")) & (F.col("received_at") <= F.col("handled_at")))
+    return kept.drop("slice", "floor")
 
 
 def received_transitions(events: DataFrame, as_of) -> DataFrame:
@@ -85,15 +100,8 @@ def received_transitions(events: DataFrame, as_of) -> DataFrame:
 
 
 def retained_transitions(events: DataFrame, as_of, retain_seconds: int = RETAIN_SECONDS) -> DataFrame:
-    """Transitions inside the retention plus the anchor before it.
-
-    The only joins are row to per-room scalar on ``room_id``; a hot room is split by the adaptive skew join.
-    """
-    points = received_transitions(events, as_of)
-    floors = retention_floor(points, retain_seconds)
-    return (
-        points.join(floors, "room_id").where(F.col("ts") > F.col("floor")).select("room_id", "ts", "in_room")
-    )
+    """Transitions inside the retention plus the anchor before it."""
+    return retained_points(received_transitions(events, as_of), retain_seconds).select("room_id", "ts", "in_room")
 
 
 def initial_state(events: DataFrame, as_of, window_seconds: int) -> DataFrame:
@@ -112,11 +120,11 @@ def initial_state(events: DataFrame, as_of, window_seconds: int) -> DataFrame:
     )
 
 
-def _occupied(
-    presence: DataFrame, now: Column, starts: Sequence[Column], usable: Column, slice_seconds: int
-) -> DataFrame:
+def _occupied(presence: DataFrame, now: Column, starts: Sequence[Column], slice_seconds: int) -> DataFrame:
     """Per room: occupied microseconds in ``[start, now]`` for each start, and the latest presence.
 
+    ``presence`` has the columns of ``_presence_rows``.
+
     1. Condense (map side first): everything at or before the oldest start becomes one row per room, copies
        of a transition become one row, future and unusable rows become one row that only feeds ``latest``.
        What is shuffled grows with the window, not with the history.
@@ -125,7 +133,7 @@ def _occupied(
     """
     micros = F.unix_micros("ts")
     oldest = F.least(*starts) if len(starts) > 1 else starts[0]
-    counted = usable & (micros <= now)
+    counted = F.col("usable") & (micros <= now)
     code = transition_code(F.col("ts"), F.col("in_room"))
     condensed = (
         presence.select(
@@ -133,7 +141,7 @@ def _occupied(
             counted.alias("counted"),
             F.when(counted & (micros > oldest), code).alias("inside"),
             F.when(counted, code).alias("code"),
-            _event_rank().alias("latest"),
+            F.col("rank").alias("latest"),
         )
         .groupBy("room_id", "counted", "inside")
         .agg(F.max("code").alias("code"), F.max("latest").alias("latest"))
@@ -171,12 +179,32 @@ def _occupied(
     return chained.groupBy("room_id").agg(*totals, F.max("latest").alias("latest"))
 
 
-def _presence_with_retention(events: DataFrame, as_of, retain_seconds: int | None) -> tuple[DataFrame, Column]:
+def _first_arrival() -> Column:
+    """(received_at, seq) as one number that sorts alike: 16 digits of microseconds and 20 of the shifted 64-bit seq."""
+    received = F.unix_micros("received_at").cast("decimal(17,0)") * F.lit("1e20").cast("decimal(21,0)")
+    shifted = F.coalesce("seq", F.lit(0)).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+    return (received + shifted).cast("decimal(38,0)")
+
+
+def _presence_rows(events: DataFrame, as_of, retain_seconds: int | None) -> DataFrame:
+    """Presence rows with ``rank`` (see ``presence_rank``) and ``usable``: whether the retention keeps them.
+
+    With a retention, copies of a transition are combined on the map side before anything is joined, and the join is
+    the one of ``retained_points``: dropped points still count for the current presence of their room.
+    """
     presence = presence_events(events, as_of)
     if retain_seconds is None:
-        return presence, F.lit(True)
-    floors = retention_floor(received_transitions(events, as_of), retain_seconds)
-    return presence.join(floors, "room_id"), F.col("ts") > F.col("floor")
+        return presence.select("room_id", "ts", "in_room", _event_rank().alias("rank"), F.lit(True).alias("usable"))
+    points = presence.groupBy("room_id", "ts", "in_room").agg(
+        F.max("received_at").alias("received_at"), F.min(_first_arrival()).alias("first")
+    )
+    kept = retained_points(points, retain_seconds)
+    rank = F.struct("ts", (-F.col("first")).alias("arrival"), F.lit(0).cast("bigint").alias("order"), "in_room")
+    # The newest point of a room is always kept, unless its own time is before its last receipt by the retention.
+    newest = points.groupBy("room_id").agg(F.max(rank).alias("rank")).select(
+        "room_id", F.col("rank.ts").alias("ts"), F.col("rank.in_room").alias("in_room"), "rank", F.lit(False).alias("usable")
+    )
+    return kept.select("room_id", "ts", "in_room", rank.alias("rank"), F.lit(True).alias("usable")).unionByName(newest)
 
 
 def occupied_seconds(
@@ -191,8 +219,8 @@ def occupied_seconds(
     Intervals run between transitions ordered by (ts, in_room): on equal ts, true is last and holds.
     """
     now = as_of_micros(as_of)
-    presence, usable = _presence_with_retention(events, as_of, retain_seconds)
-    folded = _occupied(presence, now, [now - window_seconds * MICROS], usable, slice_seconds)
+    presence = _presence_rows(events, as_of, retain_seconds)
+    folded = _occupied(presence, now, [now - window_seconds * MICROS], slice_seconds)
     return folded.select("room_id", (F.col("occupied_0") / float(MICROS)).alias("occupied_seconds"))
 
 
@@ -209,8 +237,8 @@ def room_occupancy(
     With ``rooms``, a listed room without presence events gets false and 0.0.
     """
     now = as_of_micros(as_of)
-    presence, usable = _presence_with_retention(events, as_of, retain_seconds)
-    folded = _occupied(presence, now, [now - window_seconds * MICROS], usable, slice_seconds).select(
+    presence = _presence_rows(events, as_of, retain_seconds)
+    folded = _occupied(presence, now, [now - window_seconds * MICROS], slice_seconds).select(
         "room_id",
         F.col("latest.in_room").alias("in_room"),
         F.least(F.col("occupied_0") / F.lit(float(window_seconds * MICROS)), F.lit(1.0)).alias("occupied_pct"),
@@ -242,8 +270,8 @@ def occupancy_windows(
     now = as_of_micros(as_of)
     lengths = [parse_window(F.lit(text)) for text in windows]
     starts = [now - F.coalesce(length, F.lit(0)) * MICROS for length in lengths]
-    presence, usable = _presence_with_retention(events, as_of, retain_seconds)
-    folded = _occupied(presence, now, starts, usable, slice_seconds)
+    presence = _presence_rows(events, as_of, retain_seconds)
+    folded = _occupied(presence, now, starts, slice_seconds)
     if rooms is not None:
         folded = rooms.select("room_id").distinct().join(folded, "room_id", "left")
     answers = F.array(

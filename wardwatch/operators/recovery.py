@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardwatch.functions.timeline import as_of_literal, shift
 from wardwatch.operators.falls import alarms_from_falls, keyed_falls
 from wardwatch.operators.health import visible
-from wardwatch.operators.occupancy import presence_rank, retention_floor
+from wardwatch.operators.occupancy import presence_rank, retained_points
 from wardwatch.schema import BEAT_WINDOW_SECONDS, RETAIN_SECONDS
 
 State = dict[str, DataFrame]
@@ -82,14 +82,7 @@ def merge_state(
     points = (
         rows["room_transitions"].groupBy("room_id", "ts", "in_room").agg(F.max("handled_at").alias("received_at"))
     )
-    handled = points.groupBy("room_id").agg(F.max("received_at").alias("handled_at"))
-    floors = retention_floor(points, retain_seconds).join(handled, "room_id")
-    room_transitions = (
-        points.drop("received_at")
-        .join(floors, "room_id")
-        .where(F.col("ts") > F.col("floor"))
-        .select("room_id", "ts", "in_room", "handled_at")
-    )
+    room_transitions = retained_points(points, retain_seconds).select("room_id", "ts", "in_room", "handled_at")
     merged = {
         "device_last": device_last,
         "device_beats": device_beats,
