@@ -58,7 +58,7 @@ def word_rows(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.nd
     head = np.ndarray((len(folded),), "<u8", folded.tobytes() + bytes(8), strides=(1,))[words.start] & np.uint64((1 << 8 * STEM) - 1)
     stem = (hashing.mixed(head + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
     rows = np.stack([(words.hashes >> np.uint64(64 - bits)).astype(np.int64), np.where(words.end - words.start > STEM, stem, 1 << bits)], axis=1)
-    return rows, edges, counts.argmax(axis=1)
+    return rows.astype(np.int32), edges, counts.argmax(axis=1)
 
 
 def _function_hashes() -> list[np.ndarray]:
@@ -116,16 +116,19 @@ class Network:
         return (every, np.concatenate(where, axis=1)) if places else every
 
     def logits(self, rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        return self.pooled(rows, edges) @ self.out + self.shift
+        """Logit of each text; about 100,000 words at a time, so memory does not grow with the number of texts."""
+        found = []
+        for a, b in hashing.blocks(edges, 100_000):
+            found.append(self.pooled(rows[edges[a] : edges[b]], edges[a : b + 1] - edges[a]) @ self.out + self.shift)
+        return np.concatenate(found) if found else np.zeros(0, np.float32)
 
     def begin(self, rows: np.ndarray, edges: np.ndarray, label: np.ndarray) -> None:
         """The first coordinate of a word begins as the log odds of the texts that have it; the others at random."""
-        text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        pairs = np.unique(rows * len(edges) + text[:, None])
-        row, toxic = pairs // len(edges), label[pairs % len(edges)] == 1
-        row, toxic = row[row < 1 << self.bits], toxic[row < 1 << self.bits]
         size = (1 << self.bits) + 1
-        bad, good = np.bincount(row[toxic], minlength=size), np.bincount(row[~toxic], minlength=size)
+        good, bad = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for k in range(len(edges) - 1):
+            (bad if label[k] == 1 else good)[np.unique(rows[edges[k] : edges[k + 1]])] += 1
+        bad[-1] = good[-1] = 0
         total_bad, total_good = max(1, (label == 1).sum()), max(1, (label == 0).sum())
         odds = np.log((bad + 0.5) / (total_bad + 1)) - np.log((good + 0.5) / (total_good + 1))
         seen = bad + good
@@ -215,7 +218,9 @@ def train(texts_: list[str], label: list[int], toxic_share: float, bits: int = B
         odds = min(max(toxic_share, 1e-3), 1 - 1e-3)
         net.out[:], net.shift = 0, np.float32(np.log(odds / (1 - odds)))
         return net
-    rows, edges, language = word_rows(*_joined(texts_), bits)
+    found = [word_rows(*_joined(texts_[k : k + 200]), bits) for k in range(0, len(texts_), 200)]
+    rows, language = np.concatenate([x[0] for x in found]), np.concatenate([x[2] for x in found])
+    edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[1]) for x in found]))])
     apart = np.zeros(len(y), bool)
     apart[::5] = True
     used = np.flatnonzero(~apart)
