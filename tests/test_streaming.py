@@ -72,6 +72,14 @@ def test_stream_log_equals_batch(spark, job):
     assert summed == totals
 
 
+def test_log_compaction_keeps_every_arrival(spark, job):
+    base, _, _ = job
+    event_log.compact_log(spark, f"{base}/log", f"{base}/log-compact")
+    old, new = (event_log.read_arrivals(spark, f"{base}/{name}") for name in ("log", "log-compact"))
+    assert sorted_rows(new) == sorted_rows(old)
+    assert len(new.inputFiles()) < len(old.inputFiles())
+
+
 def test_log_restart_reads_only_new_files(spark):
     base, rows = new_table_path(spark, "restart"), raw_rows(5, 60)
     write_files(spark, rows[:40], f"{base}/raw", 2)

@@ -30,6 +30,14 @@ def append_arrivals(arrivals: DataFrame, path: str) -> None:
     )
 
 
+def compact_log(spark: SparkSession, path: str, target: str) -> None:
+    """The same arrivals under a new path in few well-sized files per day, whatever number of files the stream made.
+
+    The old log stays as it is for streams that read it; switch readers and the job over while the job is stopped.
+    """
+    append_arrivals(read_arrivals(spark, path), target)
+
+
 def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARRIVAL_DDL).parquet(path)
 
