@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from wardwatch.llm.tables import texts
+from wardwatch.llm.worker import hold
 
 SCAN_PARTS = 64
 REMEMBERED = 300_000
@@ -154,20 +155,19 @@ def pieces_of(column):
         yield text.as_buffer().to_pybytes().split()
 
 
-_MODELS: dict[str, tuple[WordBpe, Remembered]] = {}
-
-
 def model(path: str) -> tuple[WordBpe, Remembered]:
     """The vocabulary and its memory of (count, ids as text, tokens as text) per piece, one per worker process."""
-    if path not in _MODELS:
+
+    def load() -> tuple[WordBpe, Remembered]:
         bpe = WordBpe(path)
 
         def make(piece: bytes) -> tuple[int, bytes, bytes]:
             ids = bpe.piece(piece.decode())
             return len(ids), b" ".join([b"%d" % i for i in ids]), " ".join([bpe.names[i] for i in ids]).encode()
 
-        _MODELS[path] = bpe, Remembered(make)
-    return _MODELS[path]
+        return bpe, Remembered(make)
+
+    return hold(f"own ids {path}", load)
 
 
 def encode(path: str, text: str) -> list[int]:

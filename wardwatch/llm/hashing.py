@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from wardwatch.llm.worker import hold
+
 #: Texts are hashed in blocks of about this many bytes; one text is never cut.
 BLOCK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -22,16 +24,16 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
+    held = hold("powers", dict)
+    if not held or len(held["up"]) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(max(n, BLOCK + 1), base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            held[name] = np.multiply.accumulate(steps)
+    return held["up"][:n], held["down"][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wardwatch.llm.bpe import REMEMBERED, Remembered, byte_letters, pieces_of
 from wardwatch.llm.tables import stored, texts
+from wardwatch.llm.worker import hold
 
 SIZE = 2048
 END_ID = 1
@@ -27,16 +28,14 @@ PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens lo
 RANK_GROUPS = 256
 
 
-_TOKENIZERS: dict[str, tuple] = {}
-
-
 def _token_bytes(path: str) -> Remembered:
     """Per worker: the memory of pieces of text with their ids as little-endian 32-bit words, by the tokenizers library.
 
     A piece of letters, with a comma or full stop at most, is one word for the library's model; words are remembered
     in lower case. Every other piece goes through the whole tokenizer.
     """
-    if path not in _TOKENIZERS:
+
+    def load() -> Remembered:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -62,8 +61,9 @@ def _token_bytes(path: str) -> Remembered:
             low = core.lower()
             return words.one(low) + marks.get(mark, b"") if len(low) == len(core) else whole(text)
 
-        _TOKENIZERS[path] = tokenizer, Remembered(make)
-    return _TOKENIZERS[path][1]
+        return Remembered(make)
+
+    return hold(f"library ids {path}", load)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
