@@ -24,7 +24,7 @@ def union(pairs, ids):
     return {i: top(i) for i in ids}
 
 
-def by_hand(rows, width=4, percent=85):
+def by_hand(rows, width=5, percent=80):
     sets = []
     for doc_id, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -55,12 +55,14 @@ def near_copies(seed=1, n=80):
     return out
 
 
-@pytest.mark.parametrize(("chunk_bytes", "block"), [(1 << 20, 1024), (1500, 8)])
-def test_equals_brute_force(spark, monkeypatch, chunk_bytes, block):
+@pytest.mark.parametrize(
+    ("chunk_bytes", "block", "width", "percent"), [(1 << 20, 1024, 4, 85), (1500, 8, 4, 85), (1500, 8, 5, 80), (4000, 1024, 2, 50)]
+)
+def test_equals_brute_force(spark, monkeypatch, chunk_bytes, block, width, percent):
     monkeypatch.setattr(ngram_join, "dealt", lambda d: shared.dealt(d, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes))
     rows = awkward(seed=9, n=90) + near_copies()
-    got = near_duplicates(frame(spark, rows), block=block).collect()
-    assert sorted(map(tuple, got), key=str) == by_hand(rows)
+    got = near_duplicates(frame(spark, rows), width, percent, block=block).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, width, percent)
 
 
 def test_empty_and_tiny(spark):

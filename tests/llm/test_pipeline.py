@@ -48,7 +48,7 @@ def check(spark, docs, sf_dir):
         elif name == "exact_dedup":
             kept = {(r[0], r[4]) for r in exact_by_hand(before) if r[3]}
             assert len(pairs(out)) == len(kept) and {(r[0], r[4]) for r in exact_by_hand(pairs(out))} == kept
-        elif name == "near_dedup":
+        elif name == "near_dedup":  # five words, similarity 0.8
             kept = {r[0] for r in near_by_hand(before) if r[2] is None or r[0] == r[2]}
             assert pairs(out) == sorted((r for r in before if r[0] in kept), key=str)
         elif name == "substring_dedup":

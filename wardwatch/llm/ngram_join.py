@@ -28,7 +28,7 @@ from wardwatch.llm.graph import components
 from wardwatch.llm.shared import bucket_of, dealt, in_order, runs
 from wardwatch.llm.tables import stored
 
-SHINGLE, PERCENT = 4, 85
+SHINGLE, PERCENT = 5, 80
 GROUPS = 32
 LEAF = 16
 #: Documents of a tree that is not split.

@@ -40,7 +40,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
