@@ -19,10 +19,13 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wardwatch.llm.tables import stored
+
 #: Partial wrappers of one host are merged in this many parts before the last merge.
 PARTS = 16
 #: Longest wrapper that is aligned further; a longer one keeps its slots and its expression stays as it is.
@@ -213,7 +216,6 @@ def _units(items: list) -> list[list]:
 
 def _joined(x: list, y: list) -> list:
     """Two units that begin alike as one."""
-    a, b = x[0], y[0]
     kinds = [u[0][0] if isinstance(u[0], list) else "" for u in (x, y)]
     bodies = [u[0][1] if k else u for u, k in zip((x, y), kinds)]
     if len(bodies[0]) > 1 and isinstance(bodies[0][0], str) and isinstance(bodies[1][0], str) and len(bodies[1]) > 1:
@@ -224,7 +226,6 @@ def _joined(x: list, y: list) -> list:
         return [["?", [["+", body]]]] if "?" in kinds else [["+", body]]
     if "?" in kinds:
         return [["?", body]]
-    del a, b
     return body
 
 
@@ -290,8 +291,6 @@ def page_wrapper(page: str) -> dict:
 
 
 def hash_of(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
@@ -383,8 +382,6 @@ def extracted(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     their class, id or role. A null or empty html gives an empty text; a null url belongs to the host ``""``. Rows that repeat come
     back as often. A host that ``wrappers`` does not have is treated as one with articles.
     """
-    from wardwatch.llm.tables import stored
-
     if wrappers is None:
         wrappers = infer(pages)
 
