@@ -134,3 +134,17 @@ def test_one_trim_equals_a_trim_per_event(spark, seed):
         rows.append(seen(received - timedelta(seconds=rng.randint(-3600, 3599)), rng.random() < 0.5, received, room=f"r{i % 3}"))
     found = plain(O.retained_transitions(events(spark, rows), NOW, 3600))
     assert {(r["room_id"], r["ts"], r["in_room"]) for r in found} == trim_per_event(rows)
+
+
+@pytest.mark.parametrize("retain", [None, 3600])
+def test_all_rooms_equals_listed_rooms_and_needs_one_scan(spark, retain):
+    rows = [event("presence", at(-50), in_room=True, room="r1"), event("presence", at(-20), in_room=False, room="r1")]
+    rows += [event("motion", at(-5), room="r2"), event("heartbeat", at(500), at(500), room="later")]
+    frame = events(spark, rows)
+    listed = O.room_occupancy(frame, NOW, 60, rooms=O.rooms_seen(frame, NOW), retain_seconds=retain)
+    found = O.room_occupancy(frame, NOW, 60, retain_seconds=retain, all_rooms=True)
+    assert sorted(map(str, plain(found))) == sorted(map(str, plain(listed)))
+    assert {row["room_id"] for row in plain(found)} == {"r1", "r2"}
+    if retain is None:
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+        assert plan.count("Scan") == 1 and "Join" not in plan

@@ -133,7 +133,7 @@ def _occupied(presence: DataFrame, now: Column, starts: Sequence[Column], slice_
     """
     micros = F.unix_micros("ts")
     oldest = F.least(*starts) if len(starts) > 1 else starts[0]
-    counted = F.col("usable") & (micros <= now)
+    counted = F.coalesce(F.col("usable") & (micros <= now), F.lit(False))
     code = transition_code(F.col("ts"), F.col("in_room"))
     condensed = (
         presence.select(
@@ -186,12 +186,21 @@ def _first_arrival() -> Column:
     return (received + shifted).cast("decimal(38,0)")
 
 
-def _presence_rows(events: DataFrame, as_of, retain_seconds: int | None) -> DataFrame:
+def _presence_rows(events: DataFrame, as_of, retain_seconds: int | None, all_rooms: bool = False) -> DataFrame:
     """Presence rows with ``rank`` (see ``presence_rank``) and ``usable``: whether the retention keeps them.
 
+    With ``all_rooms`` the rows of other types come along without values, so that a room that only they name has a row; they
+    condense to one row per room and task.
+
     With a retention, copies of a transition are combined on the map side before anything is joined, and the join is
     the one of ``retained_points``: dropped points still count for the current presence of their room.
     """
+    if all_rooms and retain_seconds is None:
+        told = F.col("type") == "presence"
+        values = {"ts": F.col("ts"), "in_room": F.col("in_room"), "rank": _event_rank()}
+        return visible(events, as_of).select(
+            "room_id", *[F.when(told, value).alias(name) for name, value in values.items()], told.alias("usable")
+        )
     presence = presence_events(events, as_of)
     if retain_seconds is None:
         return presence.select("room_id", "ts", "in_room", _event_rank().alias("rank"), F.lit(True).alias("usable"))
@@ -204,7 +213,11 @@ def _presence_rows(events: DataFrame, as_of, retain_seconds: int | None) -> Data
     newest = points.groupBy("room_id").agg(F.max(rank).alias("rank")).select(
         "room_id", F.col("rank.ts").alias("ts"), F.col("rank.in_room").alias("in_room"), "rank", F.lit(False).alias("usable")
     )
-    return kept.select("room_id", "ts", "in_room", rank.alias("rank"), F.lit(True).alias("usable")).unionByName(newest)
+    rows = kept.select("room_id", "ts", "in_room", rank.alias("rank"), F.lit(True).alias("usable")).unionByName(newest)
+    if all_rooms:
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name in ("ts", "in_room", "rank")]
+        rows = rows.unionByName(rooms_seen(events, as_of).select("room_id", *nothing, F.lit(False).alias("usable")))
+    return rows
 
 
 def occupied_seconds(
@@ -231,13 +244,15 @@ def room_occupancy(
     rooms: DataFrame | None = None,
     retain_seconds: int | None = None,
     slice_seconds: int = SLICE_SECONDS,
+    all_rooms: bool = False,
 ) -> DataFrame:
     """A10: current presence and occupied share of the trailing window per room, from one scan.
 
-    With ``rooms``, a listed room without presence events gets false and 0.0.
+    With ``rooms``, a listed room without presence events gets false and 0.0; with ``all_rooms``, every room that any
+    visible event names, in the same scan.
     """
     now = as_of_micros(as_of)
-    presence = _presence_rows(events, as_of, retain_seconds)
+    presence = _presence_rows(events, as_of, retain_seconds, all_rooms)
     folded = _occupied(presence, now, [now - window_seconds * MICROS], slice_seconds).select(
         "room_id",
         F.col("latest.in_room").alias("in_room"),
@@ -260,6 +275,7 @@ def occupancy_windows(
     rooms: DataFrame | None = None,
     retain_seconds: int | None = None,
     slice_seconds: int = SLICE_SECONDS,
+    all_rooms: bool = False,
 ) -> DataFrame:
     """A10 for many window texts in one pass.
 
@@ -270,7 +286,7 @@ def occupancy_windows(
     now = as_of_micros(as_of)
     lengths = [parse_window(F.lit(text)) for text in windows]
     starts = [now - F.coalesce(length, F.lit(0)) * MICROS for length in lengths]
-    presence = _presence_rows(events, as_of, retain_seconds)
+    presence = _presence_rows(events, as_of, retain_seconds, all_rooms)
     folded = _occupied(presence, now, starts, slice_seconds)
     if rooms is not None:
         folded = rooms.select("room_id").distinct().join(folded, "room_id", "left")

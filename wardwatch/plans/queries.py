@@ -337,7 +337,7 @@ def a9_occupied_seconds(spark, sf_dir):
 @query
 def a10_room_occupancy(spark, sf_dir):
     events = feed_events(spark, sf_dir)
-    report = occupancy.room_occupancy(events, AS_OF, WEEK, rooms=occupancy.rooms_seen(events, AS_OF))
+    report = occupancy.room_occupancy(events, AS_OF, WEEK, all_rooms=True)
     return report.select("room_id", "in_room", _six("occupied_pct"), "window_seconds")
 
 
@@ -351,7 +351,7 @@ def a10_room_occupancy_retained(spark, sf_dir):
 @query
 def a11_multi_window(spark, sf_dir):
     events = feed_events(spark, sf_dir)
-    report = occupancy.occupancy_windows(events, AS_OF, WINDOWS, rooms=occupancy.rooms_seen(events, AS_OF))
+    report = occupancy.occupancy_windows(events, AS_OF, WINDOWS, all_rooms=True)
     return report.select("room_id", "window", "window_seconds", "in_room", _six("occupied_pct"), "status")
 
 
