@@ -73,3 +73,29 @@ def test_pages_and_hosts(spark):
 
 def test_empty(spark):
     assert extracted(spark.createDataFrame([], DDL)).collect() == []
+
+
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(k, f"http://{host}/{k}", text, "h", 1) for k, (host, text) in enumerate(pages)], DDL).repartition(3)
+    return {r["page_id"]: r["text"] for r in extracted(frame).collect()}
+
+
+def test_slots_of_the_expression_decide(spark):
+    # The same tags enclose the line that never varies and the story: only the place in the expression tells them apart.
+    pages = [("a", f"<body><h1>T{k}</h1><div>Same line on each page</div><hr><div>Story {k} {'is long ' * 9}</div></body>") for k in range(6)]
+    assert texts_of(spark, pages) == {k: f"T{k}\nStory {k} {'is long ' * 9}".strip() for k in range(6)}
+
+
+def test_long_pages_are_aligned():
+    one = ["h2", "#", "/h2", "p", "#", "/p"] * 150
+    two = ["table", "#", "/table", *one, "ul", "#", "/ul"]
+    assert expression(merged(folded(one), folded(two))) == f"(<table>#</table>)?{'<h2>#</h2><p>#</p>' * 150}(<ul>#</ul>)?"
+    x = [t for k in range(150) for t in (f"a.x{k}y", f"/a.x{k}y")]
+    y = [t for k in range(150) for t in (f"b.x{k}y", f"/b.x{k}y")]
+    both = expression(merged([*x, "p", "/p"], [*y, "p", "/p"]))
+    assert both.endswith("<p></p>") and both.count("<p>") == 1
+
+
+def test_deep_pages(spark):
+    deep = [("e", "<div>" * 1500 + f"<p>Story {k}</p>" + ("<p>x</p>" if k else "<ul><li>1</li></ul>")) for k in range(2)]
+    assert texts_of(spark, deep)[0].startswith("Story 0")

@@ -6,12 +6,14 @@ group); then wrappers are aligned pairwise. Where they disagree, a repeated grou
 the other; otherwise the shortest stretch that brings both in step again becomes an optional group on its side. A text token
 facing another is a text slot.
 
-A slot is known by the tags that enclose it. The wrapper keeps for each slot on how many pages it occurs, whether its text varies,
-how much there is and how much of it is links. The slots of an article are the host's main text; where a host has no article
-element, its main text are the varying slots that are neither mostly links nor in furniture, beside and under the one with most text.
+A page is then matched against the merged expression of its host: each of its texts belongs to one slot of the expression. A slot keeps on
+how many pages it occurs, whether its text varies, how much there is and how much of it is links. Which texts are main is decided per page. An
+article or main element is the page's own evidence: the slots under it are its main text. On a page without one, these are the varying
+slots that are neither mostly links nor in furniture, beside and under the one with most text of those on the page. Variation counts over
+distinct pages, so copies of one page are no sign of furniture.
 
 Wrappers of a host are inferred where its pages are read, and these partial wrappers are merged in two steps, so a host with a third
-of all pages sends a small row per batch.
+of all pages sends a small row per batch; so do the figures of the slots.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 import zlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,8 +32,10 @@ from wardwatch.llm.tables import stored
 
 #: Partial wrappers of one host are merged in this many parts before the last merge.
 PARTS = 16
-#: Longest wrapper that is aligned further; a longer one keeps its slots and its expression stays as it is.
-LONGEST = 600
+#: A slot whose text never varies is furniture if so many distinct pages show it.
+DISTINCT = 3
+#: Elements nest deeper on some pages than the interpreter's usual limit lets functions call themselves.
+DEEPEST = 100_000
 # Elements that never hold main text, and words in class, id or role that mark furniture.
 SILENT = {"head", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "button", "title"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
@@ -214,19 +220,26 @@ def _units(items: list) -> list[list]:
     return found
 
 
+def _opened(unit: list) -> tuple[bool, bool, list]:
+    """Whether a unit is optional, whether it is repeated, and its element or slot."""
+    marks = ""
+    while isinstance(unit[0], list):
+        marks += unit[0][0]
+        unit = unit[0][1]
+    return "?" in marks, "+" in marks, unit
+
+
 def _joined(x: list, y: list) -> list:
     """Two units that begin alike as one."""
-    kinds = [u[0][0] if isinstance(u[0], list) else "" for u in (x, y)]
-    bodies = [u[0][1] if k else u for u, k in zip((x, y), kinds)]
-    if len(bodies[0]) > 1 and isinstance(bodies[0][0], str) and isinstance(bodies[1][0], str) and len(bodies[1]) > 1:
-        body = [bodies[0][0], *merged(bodies[0][1:-1], bodies[1][1:-1]), bodies[0][-1]]
+    (maybe_x, many_x, a), (maybe_y, many_y, b) = _opened(x), _opened(y)
+    if a == b:
+        body = a
     else:
-        body = merged(*bodies) if bodies[0] != bodies[1] and any(kinds) else bodies[0]
-    if "+" in kinds:
-        return [["?", [["+", body]]]] if "?" in kinds else [["+", body]]
-    if "?" in kinds:
-        return [["?", body]]
-    return body
+        longer = a if len(a) >= len(b) else b
+        body = [longer[0], *merged(a[1:-1], b[1:-1]), longer[-1]]
+    if many_x or many_y:
+        body = [["+", body]]
+    return [["?", body]] if maybe_x or maybe_y else body
 
 
 def merged(x: list, y: list) -> list:
@@ -234,39 +247,47 @@ def merged(x: list, y: list) -> list:
     if x == y:
         return x
     a, b = _units(x), _units(y)
-    out: list = []
+    keys_a, keys_b = [_key(u[0]) for u in a], [_key(u[0]) for u in b]
+    places: dict[str, list[int]] = {}
+    for k, key in enumerate(keys_b):
+        places.setdefault(key, []).append(k)
+    out: list[list] = []
     i = j = 0
 
     def optional(units: list[list]) -> None:
-        for unit in units:
-            out.extend(unit if isinstance(unit[0], list) and unit[0][0] == "?" else [["?", unit]])
-
-    def alike(u, v) -> bool:
-        return _key(u[0]) == _key(v[0])
+        out.extend(unit if _opened(unit)[0] else [["?", unit]] for unit in units)
 
     while i < len(a) and j < len(b):
-        if alike(a[i], b[j]):
-            out += _joined(a[i], b[j])
-            repeated = isinstance(out[-1], list) and out[-1][0] == "+"
+        if keys_a[i] == keys_b[j]:
+            key = keys_a[i]
+            out.append(_joined(a[i], b[j]))
             i, j = i + 1, j + 1
             # A repeated group takes in the elements of its kind that follow on the other side.
-            while repeated and i < len(a) and alike(a[i], out[-1:]) and not (j < len(b) and alike(b[j], a[i])):
-                out[-1:] = _joined(out[-1:], a[i])
-                i += 1
-            while repeated and j < len(b) and alike(b[j], out[-1:]) and not (i < len(a) and alike(a[i], b[j])):
-                out[-1:] = _joined(out[-1:], b[j])
-                j += 1
+            if _opened(out[-1])[1]:
+                while i < len(a) and keys_a[i] == key and not (j < len(b) and keys_b[j] == key):
+                    out[-1] = _joined(out[-1], a[i])
+                    i += 1
+                while j < len(b) and keys_b[j] == key and not (i < len(a) and keys_a[i] == key):
+                    out[-1] = _joined(out[-1], b[j])
+                    j += 1
             continue
-        ahead = [(p + q, p, q) for p in range(len(a) - i) for q in range(len(b) - j) if alike(a[i + p], b[j + q])] if (len(a) - i) * (len(b) - j) <= 10_000 else []
-        if not ahead:
+        # The shortest stretch after which both sides are in step; only that far is searched.
+        best = None
+        for p in range(len(a) - i):
+            if best is not None and p >= best[0]:
+                break
+            found = places.get(keys_a[i + p], [])
+            at = bisect_left(found, j)
+            if at < len(found) and (best is None or p + found[at] - j < best[0]):
+                best = (p + found[at] - j, p, found[at] - j)
+        if best is None:
             break
-        _, p, q = min(ahead)
-        optional(a[i : i + p])
-        optional(b[j : j + q])
-        i, j = i + p, j + q
+        optional(a[i : i + best[1]])
+        optional(b[j : j + best[2]])
+        i, j = i + best[1], j + best[2]
     optional(a[i:])
     optional(b[j:])
-    return out
+    return [item for unit in out for item in unit]
 
 
 def expression(items: list) -> str:
@@ -276,33 +297,92 @@ def expression(items: list) -> str:
     )
 
 
-def page_wrapper(page: str) -> dict:
-    """The wrapper of one page with its slots: path -> [pages, texts, first text, varies, characters, link characters, furniture]."""
-    stream, blocks = blocks_of(page)
-    slots: dict[str, list] = {}
-    for path, bad, text, links in blocks:
-        key = " ".join(path)
-        slot = slots.setdefault(key, [1, 0, hash_of(text), False, 0, 0, bad])
-        slot[1] += 1
-        slot[3] = slot[3] or slot[2] != hash_of(text)
-        slot[4] += len(text)
-        slot[5] += links
-    return {"pages": 1, "items": folded(stream), "slots": slots}
-
-
 def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
+def page_wrapper(page: str) -> dict:
+    """The wrapper of one page."""
+    return {"pages": 1, "items": folded(blocks_of(page)[0])}
+
+
 def merged_wrappers(x: dict, y: dict) -> dict:
-    slots = dict(x["slots"])
-    for key, s in y["slots"].items():
-        t = slots.get(key)
-        slots[key] = s if t is None else [t[0] + s[0], t[1] + s[1], t[2], t[3] or s[3] or t[2] != s[2], t[4] + s[4], t[5] + s[5], t[6]]
-    items = x["items"]
-    if items != y["items"] and max(len(json.dumps(w["items"])) for w in (x, y)) < 40 * LONGEST:
-        items = merged(items, y["items"])
-    return {"pages": x["pages"] + y["pages"], "items": items, "slots": slots}
+    return {"pages": x["pages"] + y["pages"], "items": merged(x["items"], y["items"])}
+
+
+def _tree(stream: list) -> list[list]:
+    """A stream or wrapper as nested nodes [token, children, optional, repeated]."""
+    out: list[list] = []
+    opened: list[int] = []
+    for item in stream:
+        if isinstance(item, list):
+            maybe, many, body = _opened([item])
+            for token, children, *_ in _tree(body):
+                out.append([token, children, maybe, many])
+        elif item.startswith("/"):
+            while opened and out[opened[-1]][0] != item[1:]:
+                opened.pop()
+            if opened:
+                at = opened.pop()
+                out[at][1] = out[at + 1 :]
+                del out[at + 1 :]
+        else:
+            if item != "#":
+                opened.append(len(out))
+            out.append([item, [], False, False])
+    return out
+
+
+class Expression:
+    """A wrapper that pages are matched against. Slots are numbered in the order in which they are written."""
+
+    def __init__(self, items: list):
+        self.paths: list[str] = []
+        self.top = self._level(_tree(items), ())
+
+    def _level(self, nodes: list[list], above: tuple[str, ...]) -> tuple[list[tuple], dict[str, list[int]]]:
+        level, places = [], {}
+        for token, children, _, many in nodes:
+            places.setdefault(token, []).append(len(level))
+            if token == "#":
+                level.append((len(self.paths), many))
+                self.paths.append(" ".join(above))
+            else:
+                level.append((self._level(children, (*above, token)), many))
+        return level, places
+
+    def slots_of(self, stream: list[str]) -> list[int | None]:
+        """The slot of each text of a page; None for a text that no slot of the expression takes."""
+        found: list[int | None] = []
+
+        def skip(nodes: list[list]) -> None:
+            for token, children, *_ in nodes:
+                if token == "#":
+                    found.append(None)
+                else:
+                    skip(children)
+
+        def match(nodes: list[list], level: list[tuple], places: dict[str, list[int]]) -> None:
+            free, last = 0, ("", False)  # the first element not taken yet; kind of the last one taken, and whether it repeats
+            for node in nodes:
+                token = node[0]
+                if last == (token, True):
+                    chosen = free - 1
+                else:
+                    mine = places.get(token, [])
+                    at = bisect_left(mine, free)
+                    if at == len(mine):
+                        skip([node])
+                        continue
+                    chosen = mine[at]
+                free, last = chosen + 1, (token, level[chosen][1])
+                if token == "#":
+                    found.append(level[chosen][0])
+                else:
+                    match(node[1], *level[chosen][0])
+
+        match(_tree(stream), *self.top)
+        return found
 
 
 def _main_of(path: str) -> str | None:
@@ -315,28 +395,67 @@ def _main_of(path: str) -> str | None:
     return None
 
 
-def main_slots(wrapper: dict) -> set[str] | None:
-    """Paths of the slots that are main text; None: those in articles, which every page shows by itself."""
-    good = {k: s for k, s in wrapper["slots"].items() if not s[6]}
-    if any(_main_of(k) for k in good):
-        return None
+def page_slots(page: str, expression_: Expression) -> dict[int, list]:
+    """Figures of the slots of a page without an article, by slot: [pages, texts, first text, varies, characters, link characters, distinct pages]."""
+    stream, blocks = blocks_of(page)
+    if any(not bad and _main_of(" ".join(path)) for path, bad, _, _ in blocks):
+        return {}
+    whole = hash_of("\n".join(text for _, bad, text, _ in blocks if not bad))
+    slots: dict[int, list] = {}
+    for (_, bad, text, links), at in zip(blocks, expression_.slots_of(stream)):
+        if at is None or bad:
+            continue
+        named = hash_of(text)
+        slot = slots.setdefault(at, [1, 0, named, False, 0, 0, [whole]])
+        slot[1] += 1
+        slot[3] = slot[3] or slot[2] != named
+        slot[4] += len(text)
+        slot[5] += links
+    return slots
+
+
+def merged_slots(x: dict, y: dict) -> dict:
+    slots = dict(x)
+    for key, s in y.items():
+        t = slots.get(key)
+        if t is not None:
+            s = [t[0] + s[0], t[1] + s[1], t[2], t[3] or s[3] or t[2] != s[2], t[4] + s[4], t[5] + s[5], sorted({*t[6], *s[6]})[:DISTINCT]]
+        slots[key] = s
+    return slots
+
+
+def main_slots(wrapper: dict) -> dict[int, int]:
+    """Slots that can be main text on a page without an article, with their characters."""
+    text = {int(k): s for k, s in wrapper["slots"].items() if 2 * s[5] <= s[4]}
     few = wrapper["pages"] < 3
-    body = {k: s for k, s in good.items() if 2 * s[5] <= s[4] and (few or s[3] or s[1] > 2 * s[0])}
-    if not body:
-        return set()
-    largest = max(sorted(body), key=lambda k: body[k][4])
-    parent = largest.rpartition(" ")[0]
-    return {k for k in body if (k + " ").startswith(parent + " ") or k == parent or not parent}
-
-
-def main_text(page: str, chosen: set[str] | None) -> str:
-    """Main blocks of a page joined by newlines."""
-    _, blocks = blocks_of(page)
-    kept = []
-    for path, bad, text, _ in blocks:
-        key = " ".join(path)
-        if not bad and (key in chosen if chosen is not None else _main_of(key) is not None):
-            kept.append(text)
+    return {k: s[4] for k, s in text.items() if few or s[3] or s[1] > 2 * s[0]}
+
+
+class Chooser:
+    """The expression of a host and its slots that can be main text."""
+
+    def __init__(self, items: list, body: dict[int, int]):
+        self.expression, self.body = Expression(items), body
+        self.paths: dict[str, int] = {}
+        for k, n in body.items():
+            self.paths[self.expression.paths[k]] = max(n, self.paths.get(self.expression.paths[k], 0))
+
+    def sizes(self, stream: list[str], keys: list[str]) -> list[int]:
+        """For each text of a page how much its slot holds on the host, 0 if it cannot be main. A text without a slot counts by its path."""
+        return [self.paths.get(key, 0) if at is None else self.body.get(at, 0) for at, key in zip(self.expression.slots_of(stream), keys)]
+
+
+def main_text(page: str, chosen: Chooser | None) -> str:
+    """Main blocks of a page joined by newlines; without a wrapper, only those in articles."""
+    stream, blocks = blocks_of(page)
+    keys = [" ".join(path) for path, *_ in blocks]
+    kept = [text for key, (_, bad, text, _) in zip(keys, blocks) if not bad and _main_of(key)]
+    if not kept and chosen is not None:
+        sizes = [0 if bad else n for (_, bad, _, _), n in zip(blocks, chosen.sizes(stream, keys))]
+        if any(sizes):
+            # Texts that no tag encloses have no parent.
+            parent = keys[sizes.index(max(sizes))].rpartition(" ")[0]
+            kept = [text for key, n, (_, _, text, _) in zip(keys, sizes, blocks) if n and (not parent or (key + " ").startswith(parent + " "))]
     return "\n".join(kept)
 
 
@@ -350,28 +469,89 @@ def _fold_rows(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(found[h]) for h in hosts], pa.string())], names=["host", "wrapper"])
 
 
+def _by_host(rows: DataFrame, join) -> DataFrame:
+    """Partial results (host, wrapper) joined in two steps."""
+
+    def merge(key, table):
+        sys.setrecursionlimit(DEEPEST)
+        whole = None
+        for raw in sorted(table.column("wrapper").to_pylist()):
+            one = json.loads(raw)
+            whole = one if whole is None else join(whole, one)
+        return pa.table([[key[0].as_py()], [json.dumps(whole)]], schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
+    return parts.groupBy("host", "part").applyInArrow(merge, _DDL).groupBy("host").applyInArrow(merge, _DDL)
+
+
+_DDL = "host string, wrapper string"
+
+
+def _packed(wrappers: DataFrame, pack) -> DataFrame:
+    """(host, packed): ``pack`` of each wrapper, small enough to travel with the pages."""
+
+    def run(batches):
+        for batch in batches:
+            packed = [zlib.compress(json.dumps(pack(json.loads(x))).encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["host", "packed"])
+
+    return wrappers.select("host", "wrapper").mapInArrow(run, "host string, packed binary")
+
+
+class _Opened:
+    """Unpacked wrappers of a task, the last ones used."""
+
+    def __init__(self, make, most: int = 256):
+        self.make, self.most, self.held = make, most, {}
+
+    def __getitem__(self, packed: bytes):
+        one = self.held.pop(packed, None)
+        if one is None:
+            one = self.make(json.loads(zlib.decompress(packed)))
+            if len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]
+        self.held[packed] = one
+        return one
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper) with the wrapper as JSON, from all pages; pages without a host have the host ``""``."""
 
     def partial(batches):
+        sys.setrecursionlimit(DEEPEST)
         for batch in batches:
             found: dict[str, dict] = {}
+            seen = set()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 one = page_wrapper(page)
+                shape = (host, json.dumps(one["items"]))
+                if shape in seen:
+                    found[host]["pages"] += 1
+                    continue
+                seen.add(shape)
                 found[host] = merged_wrappers(found[host], one) if host in found else one
             yield _fold_rows(found)
 
-    def merge(key, table):
-        whole = None
-        for raw in sorted(table.column("wrapper").to_pylist()):
-            one = json.loads(raw)
-            whole = one if whole is None else merged_wrappers(whole, one)
-        return pa.table([[key[0].as_py()], [json.dumps(whole)]], schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+    def figures(batches):
+        sys.setrecursionlimit(DEEPEST)
+        opened = _Opened(Expression)
+        for batch in batches:
+            found: dict[str, dict] = {}
+            for host, page, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found[host] = merged_slots(found.get(host, {}), {str(k): s for k, s in page_slots(page, opened[packed]).items()})
+            yield _fold_rows(found)
 
-    ddl = "host string, wrapper string"
-    rows = with_host(pages).select("host", "html").mapInArrow(partial, ddl)
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
-    return parts.groupBy("host", "part").applyInArrow(merge, ddl).groupBy("host").applyInArrow(merge, ddl)
+    narrow = with_host(pages).select("host", "html")
+    shapes = stored(_by_host(narrow.mapInArrow(partial, _DDL), merged_wrappers), "wrappers")
+    rows = narrow.join(_packed(shapes, lambda w: w["items"]), "host").select("host", "html", "packed").mapInArrow(figures, _DDL)
+    slots = _by_host(rows, merged_slots).withColumnRenamed("wrapper", "slots")
+
+    def whole(batches):
+        for batch in batches:
+            joined = [json.dumps(json.loads(x) | {"slots": json.loads(y)}) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.string())], names=["host", "wrapper"])
+
+    return shapes.join(slots, "host").select("host", "wrapper", "slots").mapInArrow(whole, _DDL)
 
 
 def extracted(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
@@ -380,24 +560,19 @@ def extracted(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     Character references are decoded, white space inside a block is one space, blocks are joined by one newline. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out, by element or by the words of
     their class, id or role. A null or empty html gives an empty text; a null url belongs to the host ``""``. Rows that repeat come
-    back as often. A host that ``wrappers`` does not have is treated as one with articles.
+    back as often. A page of a host that ``wrappers`` does not have gives the text of its articles.
     """
     if wrappers is None:
         wrappers = infer(pages)
-
-    def choose(batches):
-        for batch in batches:
-            chosen = [main_slots(json.loads(x)) for x in batch.column(1).to_pylist()]
-            slots = [None if c is None else sorted(c) for c in chosen]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.string()))], names=["host", "slots"])
-
-    slots = stored(wrappers.mapInArrow(choose, "host string, slots array<string>"), "main-slots")
-    rows = with_host(pages).select("page_id", "url", "html", "host").join(slots, "host", "left").select("page_id", "url", "html", "slots")
+    packed = stored(_packed(wrappers, lambda w: [w["items"], sorted(main_slots(w).items())]), "main-slots")
+    rows = with_host(pages).select("page_id", "url", "html", "host").join(packed, "host", "left").select("page_id", "url", "html", "packed")
     kinds = dict(rows.dtypes)
 
     def run(batches):
+        sys.setrecursionlimit(DEEPEST)
+        opened = _Opened(lambda x: Chooser(x[0], dict(x[1])))
         for batch in batches:
-            found = [main_text(page, None if slots is None else set(slots)) for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = [main_text(page, None if one is None else opened[one]) for page, one in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
