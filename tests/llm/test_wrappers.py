@@ -96,6 +96,22 @@ def test_long_pages_are_aligned():
     assert both.endswith("<p></p>") and both.count("<p>") == 1
 
 
+def test_templates_of_one_host(spark):
+    plain = [("m", f"<body><div class='menu'>x</div><div class='box'><p>Story {k} of many.</p><p>More {k}.</p></div></body>") for k in range(5)]
+    other = [("m", f"<body><table><tr><td>Cell {k}</td></tr></table></body>") for k in range(4)]
+    pages = [*plain, *other, ("m", page(["text"]))]
+    want = [*(f"Story {k} of many.\nMore {k}." for k in range(5)), *(f"Cell {k}" for k in range(4)), "Head & line\ntext"]
+    assert texts_of(spark, pages) == dict(enumerate(want))
+
+
+def test_copies_keep_their_text(spark):
+    copy = "<body><div class='box'><h1>Title</h1><div>The only story.</div></div></body>"
+    pages = [("c", copy)] * 5 + [("d", copy)] * 4 + [("d", copy.replace("only", "other"))] * 4
+    got = texts_of(spark, pages)
+    assert {got[k] for k in range(9)} == {"Title\nThe only story."}
+    assert {got[k] for k in range(9, 13)} == {"Title\nThe other story."}
+
+
 def test_deep_pages(spark):
     deep = [("e", "<div>" * 1500 + f"<p>Story {k}</p>" + ("<p>x</p>" if k else "<ul><li>1</li></ul>")) for k in range(2)]
     assert texts_of(spark, deep)[0].startswith("Story 0")

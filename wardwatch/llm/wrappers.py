@@ -427,8 +427,9 @@ def merged_slots(x: dict, y: dict) -> dict:
 def main_slots(wrapper: dict) -> dict[int, int]:
     """Slots that can be main text on a page without an article, with their characters."""
     text = {int(k): s for k, s in wrapper["slots"].items() if 2 * s[5] <= s[4]}
-    few = wrapper["pages"] < 3
-    return {k: s[4] for k, s in text.items() if few or s[3] or s[1] > 2 * s[0]}
+    body = {k: s[4] for k, s in text.items() if len(s[6]) < DISTINCT or s[3] or s[1] > 2 * s[0]}
+    # Where nothing varies at all, the pages differ in links only and are copies.
+    return body or {k: s[4] for k, s in text.items()}
 
 
 class Chooser:
