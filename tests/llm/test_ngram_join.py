@@ -93,6 +93,15 @@ def test_tree_loses_no_pair():
     assert want <= {(max(i, j), min(i, j)) for i, j in zip(a.tolist(), b.tolist())}
 
 
+def test_very_long_texts_keep_their_links(spark):
+    # Two groups hold some 75,000 shingles each, more than a point's count can say.
+    words = [f"w{k}" for k in range(150_000)]
+    rows = [(k, " ".join([*words[: 1000 * k], f"changed{k}", *words[1000 * k + 1 :]])) for k in (7, 9)] + [(8, " ".join(f"x{k}" for k in range(150_000)))]
+    got = near_duplicates(frame(spark, rows), groups=2).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {7: 7, 9: 7, 8: 8}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)] + [(7, None)]

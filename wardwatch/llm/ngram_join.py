@@ -3,7 +3,8 @@
 **Points.** The shingles of a document are hashed into ``GROUPS`` groups; its point is the number of its shingles in each
 group. The overlap of two documents is at most the sum over the groups of the smaller count, and the same holds for a
 tree node with the largest count of its members in each group: a node whose bound is under the overlap that a link
-needs is left out with all its members. Pairs that pass are verified on the whole sets.
+needs is left out with all its members. A count is held as at most ``MOST``, and where both have that many their bound is
+open. Pairs that pass are verified on the whole sets.
 
 **Forest.** One tree over all documents would compare everything with everything near its root, so there is a tree
 for each shingle that can prove a link. Shingles in one document only are found first (see ``shared``) and cannot be
@@ -30,6 +31,8 @@ from wardwatch.llm.tables import stored
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 32
+#: Largest count of a point, which stands for itself and all larger ones.
+MOST = 65535
 LEAF = 16
 #: Documents of a tree that is not split.
 BLOCK = 1024
@@ -154,7 +157,7 @@ def _cells(percent: int, groups: int, block: int):
             points = []
             for doc_id, n, label, shared, levels in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 tokens, level = np.frombuffer(shared, "<u8"), np.frombuffer(levels, np.uint8)
-                point = np.minimum(np.bincount((hashing.mixed(tokens) % np.uint64(groups)).astype(np.int64), minlength=groups), 65535).astype("<u2")
+                point = np.minimum(np.bincount((hashing.mixed(tokens) % np.uint64(groups)).astype(np.int64), minlength=groups), MOST).astype("<u2")
                 first = n - _ceil(percent * n, 100) + 1 - (n - len(tokens))
                 keys, level = tokens[:first], level[:first]
                 blocks = np.maximum(1, (1 << np.minimum(level, 62).astype(np.int64)) // block)
@@ -190,6 +193,15 @@ def leaves_of(points: np.ndarray) -> list[np.ndarray]:
     return packed
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most overlap of the points of each row."""
+    least = np.minimum(x, y)
+    bound = least.sum(axis=1, dtype=np.int64)
+    if least.size and least.max() >= MOST:
+        bound[(least >= MOST).any(axis=1)] = np.iinfo(np.int64).max
+    return bound
+
+
 def tree_pairs(points: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members that pass the bound of their nodes and their own bound."""
     leaves = leaves_of(points) if len(points) > LEAF else [np.arange(len(points))]
@@ -197,7 +209,7 @@ def tree_pairs(points: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.n
     small, large = np.array([size[m].min() for m in leaves]), np.array([size[m].max() for m in leaves])
     left, right = [], []
     for k, members in enumerate(leaves):
-        bound = np.minimum(high[k], high[k:]).sum(axis=1)
+        bound = overlap_bound(high[k], high[k:])
         passes = (bound >= needed(small[k], small[k:], percent)) & (large[k] * 100 >= percent * small[k:]) & (large[k:] * 100 >= percent * small[k])
         for j in np.flatnonzero(passes) + k:
             a, b = np.repeat(members, len(leaves[j])), np.tile(leaves[j], len(members))
@@ -209,7 +221,7 @@ def tree_pairs(points: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.n
     good = []
     for k in range(0, len(a), 1 << 16):
         i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-        good.append(np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) >= needed(size[i], size[j], percent))
+        good.append(overlap_bound(points[i], points[j]) >= needed(size[i], size[j], percent))
     keep = np.concatenate(good) if good else np.zeros(0, bool)
     return a[keep], b[keep]
 
