@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.corpus import awkward, frame
 
@@ -42,6 +43,20 @@ def test_equals_brute_force(spark, monkeypatch, span, batches, chunk_bytes):
     assert sorted(map(tuple, got.collect()), key=str) == by_hand(rows, span)
 
 
+def test_a_name_with_many_contexts_is_spread():
+    r = random.Random(3)
+
+    def noise():
+        return "".join(r.choice("abcdefgh ") for _ in range(150))
+
+    line = noise()[:120]
+    found = suffix_index.Anchors(pa.table({"doc_id": list(range(300)), "text": [noise() + line + noise() for _ in range(300)]}), 200)
+    name, n = Counter(found.names.tolist()).most_common(1)[0]
+    assert n > 50
+    sizes = [len(row[3]) for row in suffix_index.Windows(found, found.names == np.uint64(name), 16).requests(0)]
+    assert len(sizes) == 16 and max(sizes) < sum(sizes) / 8
+
+
 def test_sliding_argmin():
     values = np.random.default_rng(0).integers(0, 9, 500).astype(np.uint64)
     want = [k + int(np.argmin(values[k : k + 7])) for k in range(494)]

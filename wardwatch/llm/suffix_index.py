@@ -13,7 +13,8 @@ Before the next batch comes, levels of equal size are merged into one of twice t
 logarithm of the number of batches.
 
 **Windows.** An anchor whose name nobody shares has no repeated window. If all that share its name have the same context,
-all its windows are repeated. Else its context is sent to the bucket, where every window of it is compared.
+all its windows are repeated. Else each window of its context is looked up: a chunk sends the hash of each distinct one once, to a bucket
+by window and name, so the contexts of a name that a third of all documents have are spread over all buckets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardwatch.llm import hashing
-from wardwatch.llm.shared import bucket_of, dealt, in_order, runs
+from wardwatch.llm.shared import bucket_of, dealt, in_order, runs, twice
 from wardwatch.llm.tables import stored
 
 SPAN = 200
@@ -211,51 +212,48 @@ class IndexFamily:
         return out.where("kind = 'answer'")
 
 
-def _contexts(found: Anchors, mixed: np.ndarray, chunk: int, buckets: int) -> list[tuple]:
-    """Request rows with the bytes of the contexts of distinct entries whose name others have with other contexts."""
-    rows = []
-    which = np.flatnonzero(mixed)
-    example = found.example[which]
-    first, end = found.first[example], found.last[example] + found.span
-    data = found.data.tobytes()
-    for bucket, a, b in runs(bucket_of(found.names[which], buckets)):
-        sizes = (end[a:b] - first[a:b]).astype("<u4")
-        rows.append(("contexts", bucket, chunk, b"".join([data[i:j] for i, j in zip(first[a:b].tolist(), end[a:b].tolist())]), sizes.tobytes()))
-    return rows
-
-
-def _windows_answer(span: int):
-    """For each context row, a bit per window of its contexts: whether the bucket has the window another time."""
-
-    def answer(key, table):
-        xs = table.column("x").to_pylist()
-        sizes = [np.frombuffer(y, "<u4").astype(np.int64) for y in table.column("y").to_pylist()]
-        names, counts = [], []
-        for x, size in zip(xs, sizes):
-            raw, at = np.frombuffer(x, np.uint8), np.concatenate([[0], np.cumsum(size)])
-            got = []
-            for a, b in hashing.blocks(at):
-                part, bounds = raw[at[a] : at[b]], at[a : b + 1] - at[a]
-                up, down = hashing._powers(len(part) + 1)
-                sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(hashing.BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
-                n = np.diff(bounds) - span + 1
-                start = np.arange(n.sum()) + np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                got.append(hashing.mixed((sums[start + span] - sums[start]) * down[start]))
-            names.append(np.concatenate(got) if got else np.zeros(0, np.uint64))
-            counts.append(len(names[-1]))
-        every = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        equal = np.diff(every[order]) == 0
-        found = np.zeros(len(every), bool)
-        found[order[1:][equal]] = True
-        found[order[:-1][equal]] = True
-        edges = np.concatenate([[0], np.cumsum(counts)]).astype(int)
-        bits = [np.packbits(found[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
-        chunks = table.column("chunk").to_pylist()
-        return _raw([("windows", key[0].as_py(), c, x, b"") for c, x in zip(chunks, bits)])
-
-    return answer
+class Windows:
+    """Windows of the distinct entries whose name others have with other contexts; distinct ones in order of (bucket, hash)."""
+
+    def __init__(self, found: Anchors, other: np.ndarray, buckets: int):
+        self.which = np.flatnonzero(other)
+        example = found.example[self.which]
+        first = found.first[example]
+        self.count = found.last[example] - first + 1
+        self.begin = np.cumsum(self.count) - self.count
+        start = np.repeat(first - self.begin, self.count) + np.arange(self.count.sum())
+        hashes = np.zeros(len(start), np.uint64)
+        for a, b in hashing.blocks(found.at):
+            low, high = found.at[a], found.at[b]
+            mine = np.flatnonzero((start >= low) & (start < high))
+            if not len(mine):
+                continue
+            raw, at = found.data[low:high], start[mine] - low
+            up, down = hashing._powers(len(raw) + 1)
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(hashing.BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])
+            hashes[mine] = hashing.mixed((sums[at + found.span] - sums[at]) * down[at])
+        bucket = bucket_of(hashing.combined(hashes, np.repeat(found.names[self.which], self.count)), buckets)
+        order = np.lexsort((hashes, bucket))
+        hashes, bucket = hashes[order], bucket[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (bucket[1:] != bucket[:-1])
+        #: For each window of ``which`` its distinct one, and of these hash, bucket, and whether the chunk has it more than once.
+        self.place = np.zeros(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.hashes, self.bucket = hashes[new], bucket[new]
+        self.again = np.bincount(self.place, minlength=len(self.hashes)) > 1
+
+    def requests(self, chunk: int) -> list[tuple]:
+        return [("hashes", k, chunk, self.hashes[a:b].tobytes(), b"") for k, a, b in runs(self.bucket)]
+
+
+def _windows_answer(key, table):
+    """For each request row, a bit per window: whether another chunk has it."""
+    hashes = [np.frombuffer(x, np.uint64) for x in table.column("x").to_pylist()]
+    found = twice(np.concatenate(hashes))
+    edges = np.cumsum([0, *map(len, hashes)])
+    return _raw([("windows", key[0].as_py(), c, np.packbits(found[a:b]).tobytes(), b"") for c, a, b in zip(table.column("chunk").to_pylist(), edges, edges[1:])])
 
 
 def _covered(found: Anchors, answered: pa.Table, buckets: int) -> np.ndarray:
@@ -268,24 +266,19 @@ def _covered(found: Anchors, answered: pa.Table, buckets: int) -> np.ndarray:
     np.add.at(steps, found.first[anchors], 1)
     np.subtract.at(steps, found.last[anchors] + found.span, 1)
     bits = {b: x for k, b, x in zip(kinds, answered.column("bucket").to_pylist(), answered.column("x").to_pylist()) if k == "windows"}
-    which = np.flatnonzero(other)
-    windows = found.last[found.example[which]] - found.first[found.example[which]] + 1
-    begin, total = np.zeros(len(which), np.int64), []
-    at = 0
-    for bucket, a, b in runs(bucket_of(found.names[which], buckets)):
-        n = int(windows[a:b].sum())
-        begin[a:b] = at + np.concatenate([[0], np.cumsum(windows[a:b])[:-1]])
-        total.append(np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=n).astype(bool))
-        at += n
-    repeated = np.concatenate(total) if total else np.zeros(0, bool)
+    windows = Windows(found, other, buckets)
+    told = windows.again.copy()
+    for bucket, a, b in runs(windows.bucket):
+        told[a:b] |= np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=b - a).astype(bool)
+    repeated = told[windows.place]
     of_entry = np.full(len(found.names), -1, np.int64)
-    of_entry[which] = np.arange(len(which))
+    of_entry[windows.which] = np.arange(len(windows.which))
     anchors = np.flatnonzero(of_entry[found.entry] >= 0)
     nth = of_entry[found.entry[anchors]]
-    n = windows[nth]
+    n = windows.count[nth]
     offset = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
     # A context that occurs more than once in the chunk was sent once: all its windows are repeated.
-    hit = repeated[np.repeat(begin[nth], n) + offset] | np.repeat(found.counts[found.entry[anchors]] > 1, n)
+    hit = repeated[np.repeat(windows.begin[nth], n) + offset] | np.repeat(found.counts[found.entry[anchors]] > 1, n)
     start = (np.repeat(found.first[anchors], n) + offset)[hit]
     np.add.at(steps, start, 1)
     np.subtract.at(steps, start + found.span, 1)
@@ -319,11 +312,11 @@ def remove_repeated_bytes(docs: DataFrame, span: int = SPAN, batches: int = BATC
             return _raw([])
         found = Anchors(table, span)
         _, other = found.marks(told, buckets)
-        return _raw(_contexts(found, other, key[0].as_py(), buckets))
+        return _raw(Windows(found, other, buckets).requests(key[0].as_py()))
 
     narrow = parts.docs.select("doc_id", "text", "chunk", *more)
-    contexts = narrow.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(compare, _RAW_DDL)
-    windows = contexts.groupBy("bucket").applyInArrow(_windows_answer(span), _RAW_DDL)
+    asked = narrow.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(compare, _RAW_DDL)
+    windows = asked.groupBy("bucket").applyInArrow(_windows_answer, _RAW_DDL)
     extra = [f for f in narrow.schema.fields if f.name in more]
     last = ("kept string" if keep_text else "kept_sha256 string")
     ddl = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long", last])
