@@ -30,7 +30,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(exact_dedup.exact_dedup(docs).select("doc_id", "kept", "group_size", "text_sha256"), "exact-groups")
     kept = found.where("kept")
     again = kept.where("group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
-    if again.isEmpty() and found.where("doc_id is null").isEmpty():
+    # An id with two texts can be kept with one and dropped with the other.
+    both = found.where("not kept").select("doc_id").distinct().join(kept.select("doc_id"), "doc_id", "left_semi")
+    if again.isEmpty() and both.isEmpty() and found.where("doc_id is null").isEmpty():
         return without(docs, found.where("not kept"))
     # Rows without an id of their own are told apart by their text.
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACE, "").cast("binary"), 256)

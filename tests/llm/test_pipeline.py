@@ -72,3 +72,11 @@ def test_stages_on_awkward_rows(spark, tmp_path, rows):
     full = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], DDL)
     full.write.parquet(str(tmp_path / "documents.parquet"))
     check(spark, read(spark, str(tmp_path), "documents"), str(tmp_path))
+
+
+def test_an_id_that_is_kept_and_dropped(spark):
+    rows = [(1, "a text"), (2, "a text"), (2, "a text of its own"), (3, "another")]
+    for more in ([], [(None, "no id")]):
+        full = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + more], DDL)
+        want = [(1, "a text"), (2, "a text of its own"), (3, "another"), *more]
+        assert pairs(pipeline.exact_stage(spark, full, "")) == sorted(want, key=str)
