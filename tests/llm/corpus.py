@@ -33,3 +33,11 @@ def awkward(seed=0, n=60, words=30):
     rows += [(1000, None), (1001, ""), (1002, " \n\t "), (None, "w1 w2 w3"), (None, None), rows[5], rows[5], (1003, "one")]
     rows.append((1004, " ".join(["again and again"] * 3000 + passage)))
     return rows
+
+
+def thue_morse(letters=1024):
+    """Two unlike words that no polynomial modulo 2**64 tells apart."""
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from llm.corpus import awkward, frame
+from llm.corpus import awkward, frame, thue_morse
 
 from wardwatch.llm import ngram_join, shared
 from wardwatch.llm.graph import components
@@ -108,3 +108,47 @@ def test_components(spark):
     got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [(a, b) for a, b in edges if b is not None and a != b]
     assert got == union(real, {i for e in real for i in e})
+
+
+def test_one_id_with_two_texts_of_equal_size(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = [[*x[:30], "other", *x[31:]] for x in (a, b)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:59], "z"])), (3, " ".join([*b[:59], "z"])), (1, ""), (4, " ".join(near[0]))]
+    got = near_duplicates(frame(spark, rows), 4, 85).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got}[3] == 1
+
+
+def test_rows_out_of_the_trees_are_linear(spark, monkeypatch):
+    """Copies whose similarity lies around the threshold: nearly all pairs are candidates, few rows may come out."""
+    r = random.Random(3)
+    base = [f"v{k}" for k in range(110)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(r.randint(1, 4)):
+            text[r.randrange(len(text))] = f"e{r.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    made = []
+    real = ngram_join.stored
+
+    def counted(table, name):
+        out = real(table, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = near_duplicates(frame(spark, rows), 4, 85).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, 4, 85)
+    # Members times the shingles they can meet in first, not pairs.
+    assert max(n for name, n in made if name in ("tried-pairs", "open-trees", "links")) < 20 * len(rows)
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", 8 * 110 * 20)
+    got = near_duplicates(frame(spark, rows), 4, 85).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, 4, 85)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    word, other = thue_morse()
+    rows = [(1, word), (2, other), (3, f"{word.upper()} ")]
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
