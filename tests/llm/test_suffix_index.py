@@ -5,9 +5,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm.corpus import awkward, frame
+from llm.corpus import awkward, frame, thue_morse
 
-from wardwatch.llm import shared, suffix_index
+from wardwatch.llm import hashing, shared, suffix_index
 from wardwatch.llm.suffix_index import remove_repeated_bytes, sliding_argmin
 
 
@@ -57,6 +57,17 @@ def test_a_name_with_many_contexts_is_spread():
     assert len(sizes) == 16 and max(sizes) < sum(sizes) / 8
 
 
+def test_spans_that_a_polynomial_cannot_tell_apart(spark):
+    rows = [(k, f"{'x' * 60}{word}{'y' * 60}") for k, word in enumerate(thue_morse())]
+    raw = np.frombuffer(rows[0][1].encode() + rows[1][1].encode(), np.uint8)
+    spans = hashing.Spans(raw)
+    half, start = len(raw) // 2, np.arange(0, 120)
+    assert (spans.of(start, start + 1024) != spans.of(start + half, start + half + 1024))[60:61].all()
+    for span in (200, 1100):
+        got = remove_repeated_bytes(frame(spark, rows), span, keep_text=False)
+        assert sorted(map(tuple, got.collect()), key=str) == by_hand(rows, span)
+
+
 def test_sliding_argmin():
     values = np.random.default_rng(0).integers(0, 9, 500).astype(np.uint64)
     want = [k + int(np.argmin(values[k : k + 7])) for k in range(494)]

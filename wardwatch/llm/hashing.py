@@ -2,11 +2,13 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+``. Its hash is a polynomial over its bytes with a random 64-bit value per byte,
 finished by a mixer; windows combine the hashes of their words, so equal windows have equal hashes and any two others
-differ but for chance (64 bits; two independent windows hashes give 128).
+differ but for chance (64 bits; two independent windows hashes give 128). A polynomial modulo a power of two cannot tell
+some long words of two letters apart, whatever its base, so words of over ``LONG`` bytes have a BLAKE2 digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,8 @@ from wardwatch.llm.worker import hold
 
 #: Texts are hashed in blocks of about this many bytes; one text is never cut.
 BLOCK = 1 << 20
+#: Bytes of a word whose hash is a polynomial.
+LONG = 32
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 FOLDED_VALUES = BYTE_VALUES.copy()
@@ -36,6 +40,52 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held["up"][:n], held["down"][:n]
 
 
+#: Prime field of the second hash of byte spans.
+_PRIME = (1 << 31) - 1
+_PRIME_VALUES = BYTE_VALUES >> np.uint64(34)
+_PRIME_BASE = 1_137_549_271
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    held = hold("powers", dict)
+    if "prime up" not in held or len(held["prime up"]) < n:
+        n = max(n, BLOCK + 1)
+        for name, base in (("prime up", _PRIME_BASE), ("prime down", pow(_PRIME_BASE, -1, _PRIME))):
+            out = np.ones(n, np.uint64)
+            size = 1
+            while size < n:
+                more = min(size, n - size)
+                out[size : size + more] = out[:more] * np.uint64(pow(base, size, _PRIME)) % np.uint64(_PRIME)
+                size *= 2
+            held[name] = out
+    return held["prime up"][:n], held["prime down"][:n]
+
+
+class Spans:
+    """Hashes of any spans of some bytes: equal spans have equal hashes.
+
+    Two polynomials with random values per byte, modulo 2**64 and modulo a prime. The first alone cannot tell some spans of two letters
+    apart, whatever its base, and keeps few of its bits on others; the second has no such spans.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        up, self.down = _powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[raw] * up[:n], out=self.sums[1:])
+        up, self.prime_down = _prime_powers(n + 1)
+        terms = _PRIME_VALUES[raw] * up[:n]
+        # Reduced to 32 bits; sums of any text in memory fit.
+        terms = (terms & np.uint64(_PRIME)) + (terms >> np.uint64(31))
+        self.prime_sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(terms, out=self.prime_sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        first = mixed((self.sums[end] - self.sums[start]) * self.down[start])
+        second = (self.prime_sums[end] - self.prime_sums[start]) % np.uint64(_PRIME) * self.prime_down[start] % np.uint64(_PRIME)
+        return combined(first, second)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A new array with every bit of the input spread over all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -125,6 +175,9 @@ def words_of(data: np.ndarray, at: np.ndarray, fold: bool = False) -> Words:
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
         hashes = mixed((sums[end] - sums[start]) * down[start])
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            word = raw[start[k] : end[k]].tobytes()
+            hashes[k] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
         text = np.searchsorted(bounds, start, "right") - 1 + a
         parts.append((hashes, start + at[a], end + at[a], text))
     if not parts:

@@ -1,6 +1,6 @@
 """Finding hashes that occur in more than one place, without a row per hash.
 
-Documents are dealt into chunks by their id. A chunk sends each of its distinct hashes once, packed into one row per
+Documents are dealt into chunks by their id and text, so rows without an id, or with one id, are spread. A chunk sends each of its distinct hashes once, packed into one row per
 bucket of the hash space; a bucket answers each row with one bit per hash. So a hash that a third of all documents
 hold is sent once per chunk, memory is bounded by a chunk or a bucket, and the answers are a small part of the requests.
 """
@@ -34,12 +34,13 @@ def dealt(docs: DataFrame, *more: str, chunk_bytes: int = CHUNK_BYTES, bucket_by
     docs = texts(docs, *more)
     _, size = text_bytes(docs)
     chunks = max(1, -(-size // chunk_bytes))
-    return Dealt(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))), max(1, -(-size // bucket_bytes)))
+    return Dealt(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), max(1, -(-size // bucket_bytes)))
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """Rows of a chunk by doc_id (null first), then text: the same order each time it is read."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    """Rows of a chunk by doc_id (null first), then tie where there is one, then text: the same order each time it is read."""
+    columns = [c for c in ("doc_id", "tie", "text") if c in table.column_names]
+    return table.sort_by([(c, "ascending") for c in columns], null_placement="at_start") if table.num_rows > 1 else table
 
 
 def order_ids(table: pa.Table) -> np.ndarray:

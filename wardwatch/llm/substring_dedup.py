@@ -20,7 +20,7 @@ from wardwatch.llm.shared import Dealt, answers, bucket_of, dealt, flags_of, in_
 
 WIDTH = 20
 FIRST = 10
-PLACE = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+PLACE = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<u4")])
 
 
 class Levels:
@@ -92,11 +92,11 @@ def _last_requests(dealt_docs: Dealt, known: DataFrame, first: int, width: int)
             levels = Levels(table, first, width)
             levels.replay(answered, buckets)
             distinct, begin, _ = levels.places()
-            ids, words = order_ids(levels.table), levels.words
+            ids, ties, words = order_ids(levels.table), levels.table.column("tie").to_numpy(), levels.words
             more = hashing.window_hashes(words.hashes, width, salt=1)
             sent = np.zeros(len(distinct), PLACE)
             sent["hash"], sent["more"] = distinct, more[begin] >> np.uint64(32)
-            sent["doc"] = ids[words.text[begin]]
+            sent["doc"], sent["tie"] = ids[words.text[begin]], ties[words.text[begin]]
             sent["at"] = begin - np.searchsorted(words.text, words.text[begin])
             for bucket, a, b in runs(bucket_of(distinct, buckets)):
                 part = sent[a:b]
@@ -122,9 +122,8 @@ def _first_places(requests: DataFrame) -> DataFrame:
     def answer(key, table):
         parts = [unpacked(x) for x in table.column("hashes").to_pylist()]
         edges = np.cumsum([0, *map(len, parts)])
-        chunk = np.repeat(np.arange(len(parts)), np.diff(edges))
         every = np.concatenate(parts) if parts else np.zeros(0, PLACE)
-        order = np.lexsort((chunk, every["at"], every["doc"], every["more"], every["hash"]))
+        order = np.lexsort((every["at"], every["tie"], every["doc"], every["more"], every["hash"]))
         s = every[order]
         begins = np.ones(len(s), bool)
         begins[1:] = (s["hash"][1:] != s["hash"][:-1]) | (s["more"][1:] != s["more"][:-1])
@@ -153,7 +152,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, first: int = FIRST, keep
     """Documents without words of windows of ``width`` words that also begin earlier.
 
     Earlier means a smaller doc_id or, in one document, an earlier start; a null doc_id is before all others, and rows
-    of equal doc_id are ordered by text. ``width`` is ``first`` times a power of two. Columns: doc_id, n_words,
+    of equal doc_id are ordered by a hash of their text. ``width`` is ``first`` times a power of two. Columns: doc_id, n_words,
     n_removed, and kept (the words left, joined by one space), or with ``keep_text`` off its SHA-256 as kept_sha256. A
     null or empty text has no words. Repeated rows all come back, the later ones without the windows. An empty table
     gives no rows.
@@ -161,6 +160,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, first: int = FIRST, keep
     if first < 1 or width % first or (width // first) & (width // first - 1):
         raise ValueError("width must be first times a power of two")
     parts = dealt(docs)
+    # Rows of one doc_id in several chunks are told apart by this; equal ones are in one chunk.
+    parts = Dealt(parts.docs.withColumn("tie", F.xxhash64("doc_id", "text")), parts.buckets)
     buckets, known, length = parts.buckets, None, first
     while length < width:
         found = answers(_requests(parts, known, length, first, width)).withColumn("level", F.lit(length))

@@ -99,13 +99,7 @@ class Anchors:
         new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         head = np.flatnonzero(new)
         first, last, place = start[head], start[np.append(head[1:], len(start)) - 1], anchor[head]
-        up, down = hashing._powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(hashing.BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])
-
-        def named(i, j):
-            return hashing.mixed((sums[j] - sums[i]) * down[i])
-
+        named = hashing.Spans(raw).of
         name = named(place, place + self.span - reach + 1)
         end = last + self.span
         shape = (place - first).astype(np.uint64) << np.uint64(32) | (end - place).astype(np.uint64)
@@ -229,10 +223,7 @@ class Windows:
             if not len(mine):
                 continue
             raw, at = found.data[low:high], start[mine] - low
-            up, down = hashing._powers(len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(hashing.BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])
-            hashes[mine] = hashing.mixed((sums[at + found.span] - sums[at]) * down[at])
+            hashes[mine] = hashing.Spans(raw).of(at, at + found.span)
         bucket = bucket_of(hashing.combined(hashes, np.repeat(found.names[self.which], self.count)), buckets)
         order = np.lexsort((hashes, bucket))
         hashes, bucket = hashes[order], bucket[order]
