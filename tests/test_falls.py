@@ -6,7 +6,10 @@ from datetime import timedelta
 import pytest
 from conftest import NOW, at, event, events, plain
 
+from pyspark.sql import functions as F
+
 from wardwatch.operators import falls, metrics, ordering, recovery
+from wardwatch.operators.holding import openings
 
 
 def fall(ts, received_at=None, device="d1", room="r1", seq=None, confidence=0.9):
@@ -62,16 +65,50 @@ def test_the_entry_runs_from_the_last_accepted_arrival(spark):
     assert [k[2] for k in sorted(found, key=lambda k: k[1])] == ["new", "dedup_in_window", "dedup_post_ttl", "dedup_in_window", "dedup_post_ttl"]
 
 
-@pytest.mark.parametrize("fold_limit", [1000, 5, 0])
-def test_outcomes_against_a_walk_in_arrays_and_bitmaps(spark, fold_limit):
-    rng = random.Random(21)
+@pytest.mark.parametrize("seed", [21, 22])
+def test_outcomes_against_a_walk(spark, seed):
+    rng = random.Random(seed)
     rows = []
     for i in range(600):
         room = rng.choice(["hot"] * 4 + ["r1", "r2", "r3"])
         second = 0 if room == "hot" else rng.randint(0, 5)
         arrival = at(rng.choice([rng.randint(0, 300), rng.random() * 400, 33.333333]))
         rows.append(fall(at(second + rng.random() * 0.9), arrival, room=room, seq=rng.randint(0, 40)))
-    assert outcomes_of(falls.fall_outcomes(events(spark, rows), fold_limit=fold_limit)) == dict(walk(rows))
+    assert outcomes_of(falls.fall_outcomes(events(spark, rows))) == dict(walk(rows))
+
+
+def walked(times, hold):
+    out, free = [], None
+    for t in sorted(times):
+        if free is None or t >= free:
+            out.append(t)
+            free = t + hold
+    return out
+
+
+@pytest.mark.parametrize("hold", [1, 7, 10, 50])
+def test_openings_of_windows(spark, hold):
+    rng = random.Random(hold)
+    rows = {("dense", t) for t in rng.sample(range(-500, 1500), 900)} | {("even", 5 * k) for k in range(100)}
+    rows |= {("sparse", rng.randrange(10**6)) for _ in range(50)} | {("one", -3)} | {("edge", k * hold) for k in range(40)}
+    found = openings(spark.createDataFrame(sorted(rows), "k string, t long"), ["k"], hold).collect()
+    assert len(found) == len(set(found))
+    for key in {k for k, _ in rows}:
+        assert sorted(r["t"] for r in found if r["k"] == key) == walked([t for k, t in rows if k == key], hold)
+    assert openings(spark.createDataFrame([], "k string, t long"), ["k"], hold).collect() == []
+
+
+def test_a_key_with_very_many_arrivals_is_spread(spark):
+    """10^5 distinct arrivals of one key within two hours."""
+    times = spark.range(100_000).selectExpr("'hot' AS k", "pmod(xxhash64(id), 7200000000) AS t").distinct()
+    found = openings(times, ["k"], 10_000_000)
+    want = walked([r["t"] for r in times.collect()], 10_000_000)
+    assert sorted(r["t"] for r in found.collect()) == want and len(want) > 600
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+    # Before the rounds, rows meet by key and bucket: none of the buckets holds more than a small share.
+    biggest = times.groupBy(F.floor(F.col("t") / 10_000_000)).count().agg(F.max("count")).first()[0]
+    assert biggest < 300
 
 
 def test_many_exact_copies_share_rows(spark):

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardwatch.functions.keys import dedup_key
 from wardwatch.functions.timeline import as_of_literal
+from wardwatch.operators.holding import openings
 from wardwatch.schema import ALARM_COLUMNS, DEDUP_TTL_SECONDS, MICROS
 
-# Keys with at most this many rows are folded as one sorted array.
-FOLD_LIMIT = 1000
-
 
 def keyed_falls(events: DataFrame) -> DataFrame:
     """fall warnings with their dedup key.
@@ -55,103 +49,43 @@ def alarms_from_falls(events: DataFrame) -> DataFrame:
     )
 
 
-def _arrival_walker(ttl_micros: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function that finds the accepted arrivals of each key from its bitmap rows in time order.
-
-    It keeps one number between rows. Being a closure, it travels to the executors by value, so they need
-    not have this package.
-    """
-
-    def walk(batches):
-        key, free_from, first = None, 0, True
-        for batch in batches:
-            found = []
-            for row_key, bucket, bits in zip(batch["dedup_key"], batch["bucket"], batch["bits"]):
-                if row_key != key:
-                    key, free_from, first = row_key, 0, True
-                offsets = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
-                times = offsets + ((int(bucket) - 1) * 32768 + 1)
-                at = int(np.searchsorted(times, free_from))
-                while at < len(times):
-                    found.append((key, int(times[at]), first))
-                    free_from, first = int(times[at]) + ttl_micros, False
-                    at = int(np.searchsorted(times, free_from))
-            yield pd.DataFrame(found, columns=["dedup_key", "arrival", "is_first"])
-
-    return walk
-
-
-def _label_few(falls: DataFrame, ttl_micros: int) -> DataFrame:
-    """Accepted arrivals of keys with a bounded number of rows: a fold over one sorted array per key."""
-
-    def accept(accepted, row):
-        free = (F.size(accepted) == 0) | (row["arrival"] >= F.element_at(accepted, -1) + ttl_micros)
-        return F.when(free, F.concat(accepted, F.array(row["arrival"]))).otherwise(accepted)
-
-    folded = (
-        falls.groupBy("dedup_key")
-        .agg(F.array_sort(F.collect_list(F.struct("arrival", "n"))).alias("rows"))
-        .withColumn("accepted", F.aggregate("rows", F.array().cast("array<bigint>"), accept))
-    )
-    accepted_as = F.when(F.col("row.arrival") == F.col("accepted")[0], "new").when(
-        F.array_contains("accepted", F.col("row.arrival")), "dedup_post_ttl"
-    )
-    return folded.select("dedup_key", "accepted", F.explode("rows").alias("row")).select(
-        "dedup_key", "row.arrival", "row.n", accepted_as.alias("accepted_as")
-    )
-
-
-def _label_many(falls: DataFrame, ttl_micros: int) -> DataFrame:
-    """Accepted arrivals of keys with any number of rows.
-
-    The arrivals are combined on the map side into bitmaps of 32,768 microseconds. Accepted copies of one key
-    arrive within two hours of each other, so a key has at most about 220,000 bitmaps of 4 KB, which are
-    walked one at a time. The label then returns to its row by (key, arrival), which is unique on both sides.
-    """
-    marks = (
-        falls.groupBy("dedup_key", F.bitmap_bucket_number("arrival").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("arrival")).alias("bits"), F.sum("n").alias("rows"))
-        .repartition("dedup_key")
-        .sortWithinPartitions("dedup_key", "bucket")
-        .mapInPandas(_arrival_walker(ttl_micros), "dedup_key string, arrival bigint, is_first boolean")
-        .withColumn("accepted_as", F.when(F.col("is_first"), "new").otherwise("dedup_post_ttl"))
-        .drop("is_first")
-    )
-    return falls.join(marks, ["dedup_key", "arrival"], "left")
+def arrivals_of(events: DataFrame) -> DataFrame:
+    """Falls per dedup key and receipt time in microseconds ``t``, with their number ``n``."""
+    return keyed_falls(events).groupBy("dedup_key", F.unix_micros("received_at").alias("t")).agg(F.count("*").alias("n"))
 
 
-def fall_outcomes(
-    events: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
-    """what happened to the falls on live arrival: ``new``, ``dedup_in_window``, ``dedup_post_ttl``.
+def labelled(arrivals: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Rows (dedup_key, received_at, outcome, copies) of arrivals, given the accepted ones (dedup_key, t, outcome).
 
-    The time-to-live runs from the last accepted arrival and a hit does not renew it; an arrival exactly at its
-    end opens a new one. Falls of one key received at the same microsecond share a row per outcome and are
-    counted in ``copies``: one of them is accepted at most. Keys with more than ``fold_limit`` rows are never
-    gathered in one place.
+    Of the falls of one key and microsecond one is accepted at most; the others are ``dedup_in_window``.
     """
-    ttl_micros = ttl_seconds * MICROS
-    falls = (
-        keyed_falls(events)
-        .groupBy("dedup_key", F.unix_micros("received_at").alias("arrival"))
-        .agg(F.count("*").alias("n"))
-    )
-    busy = falls.groupBy("dedup_key").agg(F.sum("n").alias("rows")).where(F.col("rows") > fold_limit)
-    labelled = _label_few(falls.join(busy, "dedup_key", "left_anti"), ttl_micros).unionByName(
-        _label_many(falls.join(busy, "dedup_key", "left_semi"), ttl_micros)
-    )
     hit = F.when(F.col("accepted_as").isNotNull(), 1).otherwise(0).cast("bigint")
     split = F.array(
         F.struct(F.col("accepted_as").alias("outcome"), hit.alias("copies")),
         F.struct(F.lit("dedup_in_window").alias("outcome"), (F.col("n") - hit).alias("copies")),
     )
     return (
-        labelled.select("dedup_key", F.timestamp_micros("arrival").alias("received_at"), F.explode(split).alias("s"))
+        arrivals.join(accepted.withColumnRenamed("outcome", "accepted_as"), ["dedup_key", "t"], "left")
+        .select("dedup_key", F.timestamp_micros("t").alias("received_at"), F.explode(split).alias("s"))
         .select("dedup_key", "received_at", "s.outcome", "s.copies")
         .where(F.col("copies") > 0)
     )
 
 
+def fall_outcomes(events: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS) -> DataFrame:
+    """what happened to the falls on live arrival: ``new``, ``dedup_in_window``, ``dedup_post_ttl``.
+
+    The time-to-live runs from the last accepted arrival and a hit does not renew it; an arrival exactly at its
+    end opens a new one. Falls of one key received at the same microsecond share a row per outcome and are
+    counted in ``copies``: one of them is accepted at most. A key's arrivals are spread over time buckets, see ``holding``.
+    """
+    arrivals = arrivals_of(events)
+    first = arrivals.groupBy("dedup_key").agg(F.min("t").alias("first"))
+    accepted = openings(arrivals.select("dedup_key", "t"), ["dedup_key"], ttl_seconds * MICROS).join(first, "dedup_key")
+    outcome = F.when(F.col("t") == F.col("first"), "new").otherwise("dedup_post_ttl")
+    return labelled(arrivals, accepted.select("dedup_key", "t", outcome.alias("outcome")))
+
+
 def alarms_since(alarms: DataFrame, since_epoch: float = 0.0, room_id: str | None = None) -> DataFrame:
     """Alarms with ``ts >= since`` (inclusive), optionally of one room, ordered by ts."""
     since = F.timestamp_micros(F.lit(round(since_epoch * MICROS)).cast("bigint"))
