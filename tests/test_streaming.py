@@ -10,7 +10,7 @@ from wardwatch.operators import falls, occupancy, recovery
 from wardwatch.operators.metrics import ingest_counters
 from wardwatch.operators.validate import accepted_events, validate_raw
 from wardwatch.session import new_table_path
-from wardwatch.sources import alarm_table, event_log, raw_json, snapshots
+from wardwatch.sources import alarm_table, event_log, keyed_state, raw_json
 from wardwatch.streaming import alarms as alarm_stream
 from wardwatch.streaming import ingest
 from wardwatch.streaming import state as state_stream
@@ -165,7 +165,7 @@ def test_running_state_equals_batch_after_a_lost_checkpoint(spark, job):
         state_stream.start_state(
             spark, f"{base}/log", folder, f"{base}/latest-{checkpoint}", max_files_per_trigger=2, tables=state_stream.LATEST_TABLES
         ).awaitTermination()
-        state = snapshots.read_latest(spark, folder).state
+        state = state_stream.read_state(spark, folder)
         assert set(state) == set(state_stream.LATEST_TABLES)
         presence = state["room_presence"].select("room_id", "in_room", "ts")
         assert sorted_rows(presence) == sorted_rows(occupancy.current_presence(accepted, later))
@@ -179,41 +179,60 @@ def test_a_new_checkpoint_never_answers_with_less(spark):
     ingest.start_log(raw_stream(spark, f"{base}/raw"), f"{base}/log", f"{base}/log-checkpoint").awaitTermination()
     start = lambda name, **more: state_stream.start_state(spark, f"{base}/log", f"{base}/state", f"{base}/{name}", max_files_per_trigger=1, **more)
     start("first").awaitTermination()
-    full = snapshots.read_latest(spark, f"{base}/state")
-    seen = []
-    write = state_stream.write_snapshot
+    full, rooms = keyed_state.latest(spark, f"{base}/state"), lambda: sorted_rows(state_stream.read_state(spark, f"{base}/state")["room_presence"])
+    want, seen, write = rooms(), [], keyed_state.commit
 
-    def watch(state, folder, version, *rest):
-        write(state, folder, version, *rest)
-        seen.append((version, sorted_rows(snapshots.read_latest(spark, folder).state["room_presence"])))
+    def watch(*args):
+        version = write(*args)
+        seen.append((version.number, rooms()))
+        return version
 
-    state_stream.write_snapshot = watch
+    keyed_state.commit = watch
     try:
         start("second").awaitTermination()
     finally:
-        state_stream.write_snapshot = write
-    assert [version for version, _ in seen] == list(range(full.version + 1, full.version + 1 + len(seen))) and seen
-    assert all(rows == sorted_rows(full.state["room_presence"]) for _, rows in seen)
+        keyed_state.commit = write
+    assert [number for number, _ in seen] == list(range(full.number + 1, full.number + 1 + len(seen))) and seen
+    assert all(rows == want for _, rows in seen)
+
+
+def test_a_batch_of_one_device_writes_one_bucket(spark):
+    base, rows = new_table_path(spark, "one-bucket"), raw_rows(10, 200)
+    write_files(spark, rows, f"{base}/raw", 1)
+    log = lambda: ingest.start_log(raw_stream(spark, f"{base}/raw"), f"{base}/log", f"{base}/log-checkpoint").awaitTermination()
+    state = lambda: state_stream.start_state(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    log(), state()
+    first = keyed_state.latest(spark, f"{base}/state")
+    write_files(spark, [(f'{{"device_id":"d1","room_id":"r1","type":"heartbeat","ts":"{NOW.isoformat()}Z"}}', NOW)], f"{base}/raw", 1)
+    log(), state()
+    second = keyed_state.latest(spark, f"{base}/state")
+    changed = {key for key in second.places if second.places[key] != first.places.get(key)}
+    bucket = spark.sql("SELECT 'd1' AS d").select(keyed_state.bucket_of("d")).first()[0]
+    assert changed == {("device_last", bucket), ("device_beats", bucket)} and len(second.places) > 10
+    assert keyed_state.remove_versions(spark, f"{base}/state", second.number) == 1
+    full = recovery.state_as_of(accepted_events(validate_raw(spark.read.schema(RAW_DDL).parquet(f"{base}/raw"))), NOW + timedelta(days=1))
+    for name, frame in state_stream.read_state(spark, f"{base}/state").items():
+        assert sorted_rows(frame) == sorted_rows(full[name]), name
 
 
 def test_incremental_state_equals_batch_after_a_crash(spark, job, monkeypatch):
     base, batch, _ = job
     folder, checkpoint = f"{base}/state", f"{base}/state-checkpoint"
-    write, calls = state_stream.write_snapshot, []
+    write, calls = keyed_state.commit, []
 
-    def crash_on_third(state, *args):
+    def crash_on_third(*args):
         calls.append(args)
+        version = write(*args)
         if len(calls) == 3:
-            write(state, *args)
             raise RuntimeError("lost after writing")
-        write(state, *args)
+        return version
 
-    monkeypatch.setattr(state_stream, "write_snapshot", crash_on_third)
+    monkeypatch.setattr(keyed_state, "commit", crash_on_third)
     start = lambda: state_stream.start_state(spark, f"{base}/log", folder, checkpoint, max_files_per_trigger=2)
     with pytest.raises(Exception):
         start().awaitTermination()
     start().awaitTermination()
-    state = snapshots.read_latest(spark, folder).state
+    state = state_stream.read_state(spark, folder)
     full = recovery.state_as_of(accepted_events(batch), NOW + timedelta(days=1))
     for name in recovery.STATE_TABLES:
         assert sorted_rows(state[name]) == sorted_rows(full[name]), name

@@ -529,7 +529,7 @@ def _run_state_twice(spark: SparkSession, log: str, tables) -> dict[str, DataFra
         state_stream.start_state(
             spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, 1, tables
         ).awaitTermination()
-    return snapshots.read_latest(spark, f"{path}/state").state
+    return state_stream.read_state(spark, f"{path}/state")
 
 
 @query

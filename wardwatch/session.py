@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +52,15 @@ def shared_folder(spark: SparkSession) -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a table written by one run."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class SharedFile(NamedTuple):
+    path: str
+    modified: int
+
+
+def shared_files(spark: SparkSession, pattern: str) -> list[SharedFile]:
+    """Files and folders that match a pattern, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [SharedFile(f.getPath().toString(), f.getModificationTime()) for f in found or []]

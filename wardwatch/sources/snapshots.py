@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardwatch.functions.timeline import as_of_literal
 from wardwatch.operators.recovery import STATE_TABLES, State
 
-_STATE_DDL = {
+STATE_DDL = {
     "device_last": "device_id STRING, last_heartbeat_ts TIMESTAMP, handled_at TIMESTAMP",
     "device_beats": "device_id STRING, ts TIMESTAMP",
     "room_presence": "room_id STRING, ts TIMESTAMP, in_room BOOLEAN, received_at TIMESTAMP, seq BIGINT",
@@ -72,7 +72,7 @@ def read_latest(spark: SparkSession, folder: str, before: int | None = None) ->
     row = commits.agg(F.max(F.struct("version", stamp, "writer", "place", "tables"))).first()[0]
     if row is None:
         return None
-    state = {name: spark.read.schema(_STATE_DDL[name]).parquet(f"{folder}/{row['place']}/{name}") for name in row["tables"].split(",")}
+    state = {name: spark.read.schema(STATE_DDL[name]).parquet(f"{folder}/{row['place']}/{name}") for name in row["tables"].split(",")}
     return Snapshot(row["version"], datetime.strptime(row["stamp"], "%Y-%m-%d %H:%M:%S.%f"), row["writer"], state)
 
 

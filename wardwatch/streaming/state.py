@@ -7,13 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardwatch.operators.recovery import STATE_TABLES, contributions, merge_state
+from wardwatch.operators.recovery import STATE_TABLES, State, contributions, merge_state
 from wardwatch.schema import BEAT_WINDOW_SECONDS, RETAIN_SECONDS
+from wardwatch.sources import keyed_state
 from wardwatch.sources.event_log import stream_log
-from wardwatch.sources.snapshots import read_latest, write_snapshot
+from wardwatch.sources.snapshots import STATE_DDL
 
 #: T4: one row per device and one per room.
 LATEST_TABLES = ("device_last", "room_presence")
+STATE_KEYS = {"device_last": "device_id", "device_beats": "device_id", "room_presence": "room_id", "room_transitions": "room_id"}
+
+
+def read_state(spark: SparkSession, folder: str) -> State | None:
+    """The newest state; None before the first batch."""
+    version = keyed_state.latest(spark, folder)
+    if version is None:
+        return None
+    names = version.stamp.split(",")[1:]
+    return {name: version.read(spark, name, STATE_DDL[name]) for name in names}
 
 
 def start_state(
@@ -29,16 +40,18 @@ def start_state(
 ) -> StreamingQuery:
     """T5: keep the state tables current from the log; T4 with ``tables=LATEST_TABLES``.
 
-    Each batch merges the newest version with its own rows into the next version. Values are ranked by their own
+    State lies in hash buckets of the device or room. Each batch merges its own rows with the buckets of its devices and rooms and writes
+    these alone; all others are carried over by name. Values are ranked by their own
     times and every merge may be repeated, so a lost or new checkpoint on the same folder starts from the state
     that is there, reads the log again, and never answers with less than it knew. The commit names the batch;
     a batch that is repeated after its commit writes nothing.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        session = batch.sparkSession
+        query_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         writer = f"{query_id}-{batch_id}"
-        previous = read_latest(batch.sparkSession, state_folder)
+        previous = keyed_state.latest(session, state_folder)
         if previous is not None and previous.writer == writer:
             return
         rows = batch.persist()
@@ -46,13 +59,24 @@ def start_state(
             newest = rows.agg(F.date_format(F.max("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
             if newest is None:
                 return
-            parts, version, stamp = [contributions(rows)], 0, newest
             if previous is not None:
-                parts.insert(0, previous.state)
-                version = previous.version + 1
-                stamp = max(newest, previous.snapshot_ts.strftime("%Y-%m-%d %H:%M:%S.%f"))
+                newest = max(newest, previous.stamp.split(",")[0])
+            kinds = {"device_id": "heartbeat", "room_id": "presence"}
+            buckets = {
+                key: keyed_state.touched(rows.where(F.col("type") == kind).select(keyed_state.bucket_of(key).alias("bucket")))
+                for key, kind in kinds.items()
+            }
+            parts = [contributions(rows)]
+            if previous is not None:
+                held = {n: previous.read(session, n, STATE_DDL[n], buckets[STATE_KEYS[n]]) for n in tables}
+                parts.insert(0, held)
             merged = merge_state(parts, beat_window, retain_seconds, tables)
-            write_snapshot(merged, state_folder, version, stamp, writer)
+            places = {}
+            for name in tables:
+                key = STATE_KEYS[name]
+                found = keyed_state.written(session, state_folder, name, merged[name].withColumn("bucket", keyed_state.bucket_of(key)))
+                places |= keyed_state.replaced(previous, name, buckets[key], found)
+            keyed_state.commit(session, state_folder, previous, writer, ",".join([newest, *tables]), places)
         finally:
             rows.unpersist()
 
