@@ -43,24 +43,25 @@ def _write(rows: DataFrame, path: str) -> None:
     )
 
 
+def append_alarms(alarms: DataFrame, path: str, batch: str, dispatched_at: Column | None = None) -> None:
+    """Append alarms that are known not to be stored, ordered per room (T7). ``dispatched_at`` (M3) is the time of the write unless given."""
+    moment = F.current_timestamp() if dispatched_at is None else dispatched_at
+    _write(
+        alarms.select(*ALARM_COLUMNS, moment.alias("dispatched_at"), F.lit(batch).alias("batch"), F.to_date("ts").alias("alarm_date")), path
+    )
+
+
 def store_alarms(candidates: DataFrame, path: str, batch: str, dispatched_at: Column | None = None) -> None:
-    """Append the alarms of one batch that are not stored, ordered per room.
+    """Append the alarms of one batch that are not stored.
 
-    The key fixes the second of the alarm, so only alarm dates between the oldest and the newest candidate can
-    hold the same key; the scan of the stored table is limited to them. A repeated batch finds its own rows and
-    writes nothing; after a half-written one only the missing rows are added. ``dispatched_at`` (M3) is the time of
-    the write unless given.
+    The key fixes the second of the alarm, so only the alarm dates of the candidates can hold the same key; the scan of the stored table is
+    limited to these. A repeated batch finds its own rows and writes nothing; after a half-written one only the missing rows are added.
     """
-    spark = candidates.sparkSession
-    oldest, newest = candidates.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-    if oldest is None:
-        return
-    stored = read_alarms(spark, path).where(F.col("alarm_date").between(F.lit(oldest), F.lit(newest)))
-    moment = F.current_timestamp() if dispatched_at is None else dispatched_at
-    fresh = insert_or_ignore(candidates, stored).select(
-        *ALARM_COLUMNS, moment.alias("dispatched_at"), F.lit(batch).alias("batch"), F.to_date("ts").alias("alarm_date")
-    )
-    _write(fresh, path)
+    # One row per date.
+    dates = [row[0] for row in candidates.select(F.to_date("ts")).distinct().collect()]
+    if dates:
+        stored = read_alarms(candidates.sparkSession, path).where(F.col("alarm_date").isin(dates))
+        append_alarms(insert_or_ignore(candidates, stored), path, batch, dispatched_at)
 
 
 def compact_alarms(spark: SparkSession, path: str, target: str) -> None:
