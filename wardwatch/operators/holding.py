@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wardwatch.schema import MICROS
 from wardwatch.session import new_table_path
 
 #: Rounds that are planned as one query; with more, each round is written to the shared folder.
@@ -63,3 +65,23 @@ def _rounds(buckets: DataFrame, keys: Sequence[str]) -> int:
     runs = buckets.select(*keys, (F.col("c") - F.row_number().over(order)).alias("run")).groupBy(*keys, "run").count()
     longest = runs.agg(F.max("count")).first()[0]
     return math.ceil(math.log2(longest)) if longest else 0
+
+
+def released(rows: DataFrame, keys: Sequence[str], hold_seconds: float, time: str = "received_at") -> DataFrame:
+    """Rows with ``released_at``: the end of the window, of the key's arrivals, that holds the row.
+
+    A row waits at most ``hold_seconds``; sorted by ``released_at`` and then by any order, rows that arrive out of order within a window come
+    out in order. Rows whose key or time is null are released when they arrive.
+    """
+    keys, hold = list(keys), round(hold_seconds * MICROS)
+    rows = rows.withColumn("_t", F.unix_micros(time))
+    opened = openings(rows.select(*keys, F.col("_t").alias("t")).distinct(), keys, hold)
+    # A window lies in the bucket where it opens and the next one, and each bucket has two windows at most.
+    c = F.floor(F.col("t") / hold)
+    opened = opened.select(*keys, F.col("t").alias("_open"), F.explode(F.array(c, c + 1)).alias("_c"))
+    sliced = rows.withColumn("_c", F.floor(F.col("_t") / hold))
+    same = [sliced[k] == opened[k] for k in (*keys, "_c")]
+    inside = (opened["_open"] <= sliced["_t"]) & (sliced["_t"] < opened["_open"] + hold)
+    end = F.when(opened["_open"].isNotNull(), F.timestamp_micros(opened["_open"] + hold)).otherwise(sliced[time])
+    on = reduce(lambda x, y: x & y, [*same, inside])
+    return sliced.join(opened, on, "left").select(*[sliced[n] for n in rows.columns if n != "_t"], end.alias("released_at"))

@@ -134,6 +134,34 @@ presence AS (SELECT * FROM wired WHERE type = 'presence')
 
 _STATE_SQL = _with(_FEED, _VISIBLE, _CURRENT, _RETAINED, _STATE) + "SELECT state_table, entity_id, ts, in_room FROM state"
 
+_FALL_WALK = """
+ordered AS (SELECT dedup_key, r, received_at, seq, row_number() OVER (PARTITION BY dedup_key ORDER BY r, seq) AS n FROM falls),
+walk AS (
+  SELECT dedup_key, received_at, seq, n, r AS set_at, 'new' AS outcome FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.dedup_key, o.received_at, o.seq, o.n,
+         CASE WHEN o.r - w.set_at >= 10000000 THEN o.r ELSE w.set_at END,
+         CASE WHEN o.r - w.set_at >= 10000000 THEN 'dedup_post_ttl' ELSE 'dedup_in_window' END
+  FROM walk w JOIN ordered o ON o.dedup_key = w.dedup_key AND o.n = w.n + 1
+)
+"""
+
+
+def _windows(rows: str, key: str) -> str:
+    """Windows of two hours of receipt that open with a key's first arrival and then with the first after the last window."""
+    return f"""
+times AS (SELECT {key}, epoch_us(received_at) AS t, row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(received_at)) AS n
+          FROM (SELECT DISTINCT {key}, received_at FROM {rows})),
+steps AS (
+  SELECT {key}, t, n, t AS open FROM times WHERE n = 1
+  UNION ALL
+  SELECT o.{key}, o.t, o.n, CASE WHEN o.t - s.open >= 7200000000 THEN o.t ELSE s.open END
+  FROM steps s JOIN times o ON o.{key} = s.{key} AND o.n = s.n + 1
+),
+placed AS (SELECT r.*, open FROM {rows} r JOIN steps s ON s.{key} = r.{key} AND s.t = epoch_us(r.received_at))
+"""
+
+
 ORACLES: dict[str, str] = {
     "s1_json_source": _with(_FEED)
     + """SELECT CASE WHEN spoiled IN (0, 1, 2) THEN NULL WHEN spoiled = 9 THEN '7' ELSE type END AS type,
@@ -249,22 +277,7 @@ LEFT JOIN occupied o ON o.room_id = r.room_id AND o.win = q.win""",
     "f1_dedup_key": _with(_FEED, _FALLS) + "SELECT seq, dedup_key FROM falls",
     "f2_fall_dedup": _with(_FEED, _FALLS)
     + "SELECT device_id, room_id, ts, round(confidence, 6) AS confidence, received_at, dedup_key FROM alarms",
-    "f3_fall_outcomes": _with(
-        _FEED,
-        _FALLS,
-        """
-ordered AS (SELECT dedup_key, r, received_at, seq, row_number() OVER (PARTITION BY dedup_key ORDER BY r, seq) AS n FROM falls),
-walk AS (
-  SELECT dedup_key, received_at, seq, n, r AS set_at, 'new' AS outcome FROM ordered WHERE n = 1
-  UNION ALL
-  SELECT o.dedup_key, o.received_at, o.seq, o.n,
-         CASE WHEN o.r - w.set_at >= 10000000 THEN o.r ELSE w.set_at END,
-         CASE WHEN o.r - w.set_at >= 10000000 THEN 'dedup_post_ttl' ELSE 'dedup_in_window' END
-  FROM walk w JOIN ordered o ON o.dedup_key = w.dedup_key AND o.n = w.n + 1
-)
-""",
-        recursive=True,
-    )
+    "f3_fall_outcomes": _with(_FEED, _FALLS, _FALL_WALK, recursive=True)
     + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
     "f5_alarms_since": _with(_FEED, _FALLS)
     + f"""SELECT row_number() OVER (ORDER BY ts, received_at, dedup_key) AS position,
@@ -342,4 +355,14 @@ FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13
     + """SELECT row_number() OVER (PARTITION BY room_id ORDER BY ts, received_at, dedup_key) AS position,
        device_id, room_id, ts, round(confidence, 6) AS confidence, received_at, dedup_key
 FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13 <> 0)""",
+    "f3_stream_outcomes": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"), _FALL_WALK, recursive=True)
+    + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
+    "o1_reordered_stream": _with(_FEED, _windows("wired", "device_id"), recursive=True)
+    + """SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY open, ts, received_at, seq) AS position, ts, received_at, seq,
+       make_timestamp(open + 7200000000) AS released_at
+FROM placed""",
+    "t7_reordered_stream": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"), _windows("alarms", "room_id"), recursive=True)
+    + """SELECT room_id, row_number() OVER (PARTITION BY room_id ORDER BY open, ts, received_at, dedup_key) AS position, ts, received_at, dedup_key,
+       make_timestamp(open + 7200000000) AS released_at
+FROM placed""",
 }

@@ -27,7 +27,7 @@ from wardwatch.sources.device_feed import (
 )
 from wardwatch.sources.raw_json import read_raw
 from wardwatch.streaming import alarms as alarm_stream
-from wardwatch.streaming import ingest, state as state_stream
+from wardwatch.streaming import ingest, ordered as ordered_stream, state as state_stream
 
 AS_OF = "2024-01-30 00:00:00"
 SNAPSHOT_TS = "2024-01-20 00:00:00"
@@ -37,6 +37,8 @@ BEAT_INTERVAL = 43_200.0
 RETENTION = 2 * DAY
 WINDOWS = ("1440m", "168h", "2419200", "0", "-5m", "soon", "1d")
 PARSE_TASKS = 8
+HOLD_SECONDS = 2 * 3600
+SLICES = ("2024-01-01", "2024-01-11 12:00:00", "2024-01-20", "2024-03-01")
 ALARMS_SINCE = 1705708800.0  # 2024-01-20 00:00:00 UTC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,6 +555,56 @@ def t7_stream_alarms(spark, sf_dir):
     return alarms.select("position", "device_id", "room_id", "ts", _six("confidence"), "received_at", "dedup_key")
 
 
+def _in_slices(spark: SparkSession, sf_dir: str):
+    """The path of a log that grows by slices of receipt time; a stream is run after each."""
+    log = event_log.read_arrivals(spark, _stream_log(spark, sf_dir)).where(F.col("outcome") == "accepted")
+    path = new_table_path(spark, "growing")
+    for low, high in zip(SLICES, SLICES[1:]):
+        log.where((F.col("received_at") >= low) & (F.col("received_at") < high)).write.mode("append").partitionBy("outcome").parquet(path)
+        yield path
+
+
+def _reordered(spark: SparkSession, folder: str, streams, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows of a stream run slice by slice, with their position in the order in which the buffer releases them."""
+    for source in streams:
+        ordered_stream.start_ordered(source, f"{folder}/ordered", f"{folder}/ordered-checkpoint", [key], HOLD_SECONDS, order).awaitTermination()
+        schema = source.schema
+    ordered_stream.drain(spark, f"{folder}/ordered", schema, [key], HOLD_SECONDS, order)
+    shown = ordered_stream.read_ordered(spark, f"{folder}/ordered", schema)
+    return ordering.with_positions(shown, [key], "released_at", order, DAY)
+
+
+@query
+def o1_reordered_stream(spark, sf_dir):
+    folder = new_table_path(spark, "reorder")
+    streams = (event_log.stream_log(spark, path) for path in _in_slices(spark, sf_dir))
+    placed = _reordered(spark, folder, streams, "device_id", ("ts", "received_at", "seq"))
+    return placed.select("device_id", "position", "ts", "received_at", "seq", "released_at")
+
+
+@query
+def t7_reordered_stream(spark, sf_dir):
+    folder = new_table_path(spark, "reorder-alarms")
+
+    def streams():
+        for path in _in_slices(spark, sf_dir):
+            alarm_stream.start_alarms(spark, path, f"{folder}/table", f"{folder}/alarms-checkpoint").awaitTermination()
+            yield alarm_table.stream_alarms(spark, f"{folder}/table")
+
+    placed = _reordered(spark, folder, streams(), "room_id", ("ts", "received_at", "dedup_key"))
+    return placed.select("room_id", "position", "ts", "received_at", "dedup_key", "released_at")
+
+
+@query
+def f3_stream_outcomes(spark, sf_dir):
+    folder = new_table_path(spark, "live-outcomes")
+    for path in _in_slices(spark, sf_dir):
+        alarm_stream.start_alarms(
+            spark, path, f"{folder}/table", f"{folder}/checkpoint", outcomes_path=f"{folder}/outcomes"
+        ).awaitTermination()
+    return alarm_stream.alarm_outcomes(spark, f"{folder}/outcomes")
+
+
 @query
 def f6_stream_feed(spark, sf_dir):
     path = new_table_path(spark, "feed")

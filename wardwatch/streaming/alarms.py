@@ -19,20 +19,20 @@ KEYS, KEY_DDL = "keys", "dedup_key STRING, last_open BIGINT"
 FRESH = "fresh"
 
 
-def _hour(ts: Column) -> Column:
-    """Bucket of a key: the hour of its fall. A key fixes the second, so its copies have one bucket."""
-    return F.floor(F.unix_seconds(ts) / 3600)
+def _day(ts: Column) -> Column:
+    """Bucket of a key: the day of its fall. A key fixes the second, so its copies have one bucket."""
+    return F.unix_date(F.to_date(ts)).cast("bigint")
 
 
-def _known(version: keyed_state.Version | None, spark: SparkSession, hours: list[int] | None) -> DataFrame:
-    rows = version.read(spark, KEYS, KEY_DDL, hours) if version else spark.createDataFrame([], KEY_DDL)
+def _known(version: keyed_state.Version, spark: SparkSession, days: list[int]) -> DataFrame:
+    rows = version.read(spark, KEYS, KEY_DDL, days)
     return rows.groupBy("dedup_key").agg(F.max("last_open").alias("last_open"))
 
 
 def _first_version(spark: SparkSession, alarm_path: str, state_path: str) -> keyed_state.Version | None:
     """State filled from an alarm table that was there before it: read once, when the job has no state."""
     stored = read_alarms(spark, alarm_path)
-    rows = stored.select("dedup_key", F.unix_micros("received_at").alias("last_open"), _hour(F.col("ts")).alias("bucket"))
+    rows = stored.select("dedup_key", F.unix_micros("received_at").alias("last_open"), _day(F.col("ts")).alias("bucket"))
     places = keyed_state.written(spark, state_path, KEYS, rows)
     return keyed_state.commit(spark, state_path, None, "alarm table", "", keyed_state.added(None, KEYS, places))
 
@@ -60,8 +60,8 @@ def start_alarms(
 ) -> StreamingQuery:
     """Alarms from the log into the alarm table; F3 and M2 while it runs.
 
-    Keyed state holds every key with its last accepted receipt, in buckets by the hour of the fall (``state_path``, beside the alarm table unless
-    given). A batch reads the hours of its own falls and adds to them, so no batch scans the alarm table; that happens once, when a job
+    Keyed state holds every key with its last accepted receipt, in buckets by the day of the fall (``state_path``, beside the alarm table unless
+    given). A batch reads the days of its own falls and adds to them, so no batch scans the alarm table; that happens once, when a job
     without state starts on a table with alarms. There is no watermark: falls may come in any order of receipt and none is dropped, and the table
     stays free of duplicates even when the checkpoint is lost and the log is read again.
 
@@ -84,12 +84,12 @@ def start_alarms(
         if previous.writer == name:
             return
         falls = batch.persist()
-        candidates = alarms_from_falls(falls).withColumn("bucket", _hour(F.col("ts"))).persist()
+        candidates = alarms_from_falls(falls).withColumn("bucket", _day(F.col("ts"))).persist()
         try:
-            hours = keyed_state.touched(candidates)
-            if not hours:
+            days = keyed_state.touched(candidates)
+            if not days:
                 return
-            known = _known(previous, session, hours).persist()
+            known = _known(previous, session, days).persist()
             fresh = insert_or_ignore(candidates, known)
             arrivals = arrivals_of(falls)
             free = arrivals.join(known, "dedup_key", "left").where(F.col("last_open").isNull() | (F.col("t") >= F.col("last_open") + ttl))
@@ -106,10 +106,10 @@ def start_alarms(
                 session.createDataFrame(row, COUNTER_DDL).coalesce(1).write.mode("overwrite").parquet(f"{counters_path}/{name}")
             opened = accepted.groupBy("dedup_key").agg(F.max("t").alias("last_open")).join(candidates.select("dedup_key", "bucket"), "dedup_key")
             places = keyed_state.added(previous, KEYS, keyed_state.written(session, state_path, KEYS, opened))
-            for hour in keyed_state.crowded({k: v for k, v in places.items() if k[1] in hours}):
+            for day in keyed_state.crowded({k: v for k, v in places.items() if k[1] in days}):
                 every = keyed_state.Version(0, "", "", places)
-                one = _known(every, session, [hour]).withColumn("bucket", F.lit(hour))
-                places[KEYS, hour] = tuple(keyed_state.written(session, state_path, KEYS, one).values())
+                one = _known(every, session, [day]).withColumn("bucket", F.lit(day))
+                places[KEYS, day] = tuple(keyed_state.written(session, state_path, KEYS, one).values())
             found = keyed_state.written(session, state_path, FRESH, fresh.withColumn("bucket", F.lit(0)))
             places |= keyed_state.replaced(None, FRESH, [], found)
             version = keyed_state.commit(session, state_path, previous, name, "", places)
