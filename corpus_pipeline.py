@@ -26,19 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; of rows that repeat a doc_id with equal texts, one."""
-    found = stored(exact_dedup.exact_dedup(docs).select("doc_id", "kept", "group_size", "text_sha256"), "exact-groups")
-    kept = found.where("kept")
-    again = kept.where("group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
-    # An id with two texts can be kept with one and dropped with the other.
-    both = found.where("not kept").select("doc_id").distinct().join(kept.select("doc_id"), "doc_id", "left_semi")
-    if again.isEmpty() and both.isEmpty() and found.where("doc_id is null").isEmpty():
-        return without(docs, found.where("not kept"))
-    # Rows without an id of their own are told apart by their text.
+    """One document of each group of equal texts; of rows that repeat a doc_id with equal texts, one.
+
+    Rows are kept by id and text, so an id that stands for several texts, or a row without an id, goes by its own text.
+    """
+    found = exact_dedup.exact_dedup(docs).where("kept")
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACE, "").cast("binary"), 256)
-    keyed = docs.select(*COLUMNS, sha.alias("sha"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"))
-    keys = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text_sha256").alias("sha")).distinct()
-    longest = keyed.join(keys, ["key", "sha"], "left_semi").groupBy("key", "sha").agg(
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = docs.select(*COLUMNS, sha.alias("sha"), key.alias("key"))
+    kept = found.select(key.alias("key"), F.col("text_sha256").alias("sha")).distinct()
+    longest = keyed.join(kept, ["key", "sha"], "left_semi").groupBy("key", "sha").agg(
         F.max_by(F.struct(*COLUMNS), F.length(F.coalesce("text", F.lit("")))).alias("row")
     )
     return longest.select("row.*")

@@ -105,3 +105,16 @@ def test_patterns_use_every_length_once(counts):
             used[length] += n
     assert used == Counter({k: v for k, v in counts.items() if v})
     assert len(patterns) <= 64 * 64
+
+
+def test_memory_is_bounded_on_texts_without_spaces(spark):
+    r = random.Random(1)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(800)) for _ in range(40)]
+    memory = bpe.Remembered(lambda key: key * 5)
+    for text in texts:
+        assert memory.all([text.encode(), b"short"]) == [text.encode() * 5, b"short" * 5]
+    assert set(memory.new) == {b"short"} and not memory.old
+    library = Tokenizer.from_file(PATH)
+    rows = [(k, t) for k, t in enumerate(texts[:5])]
+    got = {x["doc_id"]: x["ids"] for x in bpe.encoded(frame(spark, rows), PATH).collect()}
+    assert got == {k: " ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for k, t in rows}

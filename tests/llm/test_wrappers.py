@@ -1,4 +1,5 @@
 import json
+import random
 
 from wardwatch.llm.wrappers import blocks_of, expression, extracted, folded, infer, main_text, merged
 
@@ -115,3 +116,65 @@ def test_copies_keep_their_text(spark):
 def test_deep_pages(spark):
     deep = [("e", "<div>" * 1500 + f"<p>Story {k}</p>" + ("<p>x</p>" if k else "<ul><li>1</li></ul>")) for k in range(2)]
     assert texts_of(spark, deep)[0].startswith("Story 0")
+
+
+STORY = [f"<p>Paragraph {j} of a story, {'with words ' * 8}</p>" for j in range(4)]
+
+
+def stories(k):
+    return "".join(STORY).replace("story", f"story {k}"), "\n".join(f"Paragraph {j} of a story {k}, {'with words ' * 8}".strip() for j in range(4))
+
+
+def test_names_around_the_story_do_not_silence_it(spark):
+    layouts = [
+        "<article class='post has-sidebar'>%s</article>",
+        "<div class='content with-sidebar'><article>%s</article></div>",
+        "<div class='nav-open'><main>%s</main></div>",
+        "<div class='banner'><main>%s</main></div>",
+        "<div class='sidebar'><div class='story'>%s</div></div>",
+    ]
+    pages, want = [], {}
+    for n, layout in enumerate(layouts):
+        for k in range(4):
+            body, text = stories(k)
+            want[len(pages)] = text
+            pages.append((f"h{n}", f"<body><nav><a href='/'>home</a></nav>{layout % body}<footer>Foot</footer></body>"))
+    assert texts_of(spark, pages) == want
+
+
+def test_names_that_only_look_like_furniture(spark):
+    body = "<article><h1>T</h1><p class='ad-free'>One %d</p><h2 id='comments-on-the-law'>Law</h2><p>Two %d</p><div class='comment-list'>reader %d</div><p class='ad'>buy %d</p></article>"
+    pages = [("n", body.replace("%d", str(k))) for k in range(4)]
+    assert texts_of(spark, pages) == {k: f"T\nOne {k}\nLaw\nTwo {k}" for k in range(4)}
+
+
+def test_a_teaser_loses_to_the_story_beside_it(spark):
+    pages = [("t", f"<body><article class='teaser'>Read {k}</article><div class='box'>{stories(k)[0]}</div></body>") for k in range(12)]
+    assert texts_of(spark, pages) == {k: stories(k)[1] for k in range(12)}
+
+
+def planted(seed=0):
+    """Pages of hosts with templates of their own and a known main text."""
+    r = random.Random(seed)
+    pages, want = [], {}
+    for host in range(8):
+        frame = r.choice(["<article>%s</article>", "<main>%s</main>", "<div id='content'><div class='text'>%s</div></div>", "<section class='story'>%s</section>"])
+        menu = "".join(f"<li><a href='/{j}'>Menu {host} {j}</a></li>" for j in range(r.randint(2, 6)))
+        notice = f"<div>All rights of host {host} are reserved, see our terms.</div>"
+        for k in range(12):
+            blocks = [f"{r.choice('ABCDE')}{r.randrange(10**6)} text of page {k} {'and more of it ' * r.randint(3, 9)}".strip() for _ in range(r.randint(3, 7))]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:]) + (notice if host % 2 else "")
+            aside = f"<div class='related-posts'><p>Other {r.randrange(99)}</p></div>" if r.random() < 0.5 else ""
+            want[len(pages)] = "\n".join(blocks)
+            pages.append((f"p{host}", f"<html><body><ul>{menu}</ul>{aside}{frame % body}<div>About host {host}</div></body></html>"))
+    return pages, want
+
+
+def test_planted_templates_and_what_inference_adds(spark, monkeypatch):
+    pages, want = planted()
+    got = texts_of(spark, pages)
+    wrong = [k for k in want if got[k] != want[k]]
+    assert not wrong, (len(wrong), got[wrong[0]], want[wrong[0]])
+    # Without slots, pages lose their text or keep the notice.
+    bare = {k: main_text(text, None) for k, (_, text) in enumerate(pages)}
+    assert sum(bare[k] != want[k] for k in want) > len(want) / 3

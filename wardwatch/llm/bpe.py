@@ -25,6 +25,8 @@ from wardwatch.llm.worker import hold
 
 SCAN_PARTS = 64
 REMEMBERED = 300_000
+#: Longer pieces and words are not remembered, so a memory is bounded in bytes, also on texts without spaces.
+LONGEST = 48
 _NO_RANK = 1 << 30
 # The white space of the vocabulary's normaliser, and its word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -126,12 +128,14 @@ class WordBpe:
 
 
 class Remembered:
-    """``make(key)`` for each key, kept in two generations of at most ``limit`` keys."""
+    """``make(key)`` for each key; those of at most ``LONGEST`` bytes or letters are kept in two generations of at most ``limit``."""
 
     def __init__(self, make, limit: int = REMEMBERED):
         self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
     def one(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.new.get(key)
         if value is None:
             value = self.old.get(key)

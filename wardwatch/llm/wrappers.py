@@ -7,11 +7,14 @@ the other; otherwise the shortest stretch that brings both in step again becomes
 facing another is a text slot.
 
 A page is then matched against the merged expression of its host: each of its texts belongs to one slot of the expression. A slot keeps on
-how many pages it occurs, whether its text varies, how much there is and how much of it is links. Which texts are main is decided per page. An
-article or main element is the page's own evidence: the slots under it are its main text. On a page without one, these are the varying
-slots that are neither mostly links nor in furniture, beside and under the one with most text of those on the page. Variation counts over
+how many pages it occurs, whether its text varies, how much there is and how much of it is links. Variation counts over
 distinct pages, so copies of one page are no sign of furniture.
 
+Which texts are main is decided per page, by slots. Slots that vary and are not mostly links hold content. Of the content in article or main elements and
+the content beside and under the largest slot elsewhere, the larger one is main, where an article counts ``ARTICLE`` times: a teaser loses to a
+long story. From what is chosen, texts go whose slot says the same on most pages of the host, unless they are headings. A name that marks furniture counts for an element inside
+the main part and never for one around it.
+
 Wrappers of a host are inferred where its pages are read, and these partial wrappers are merged in two steps, so a host with a third
 of all pages sends a small row per batch; so do the figures of the slots.
 """
@@ -24,6 +27,7 @@ import re
 import sys
 import zlib
 from bisect import bisect_left
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +38,8 @@ from wardwatch.llm.tables import stored
 PARTS = 16
 #: A slot whose text never varies is furniture if so many distinct pages show it.
 DISTINCT = 3
+#: How much more content outside of an article outweighs the one inside.
+ARTICLE = 4
 #: Elements nest deeper on some pages than the interpreter's usual limit lets functions call themselves.
 DEEPEST = 100_000
 # Elements that never hold main text, and words in class, id or role that mark furniture.
@@ -44,6 +50,12 @@ MARKS = set(
     "header masthead footer foot copyright notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login "
     "form search share sharing social related recommended comment comments reply replies respond disqus widget toolbar pagination pager tags hidden".split()
 )
+#: Words that say nothing beside one of these: a name marks furniture if each of its words is of either kind.
+NEUTRAL = set(
+    "site page main top bottom left right box block wrap wrapper container inner outer content section area bar list item items link links button buttons icon "
+    "text title label unit slot group row col column panel primary secondary global local sub mobile desktop small large post posts article articles user js".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of these ends an open paragraph; one of a list item, cell or row ends its own kind.
@@ -62,26 +74,42 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"
 WORDS = re.compile(r"[a-z]+")
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """Class, id and role of a tag as part of its name, and whether they mark furniture."""
-    found, bad = [], False
+def _marks(attrs: str) -> tuple[str, bool, bool]:
+    """Class, id and role of a tag as part of its name, whether they hide it or give it a role of furniture, and whether a name marks furniture."""
+    found, hard, soft = [], False, False
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("hidden", "aria-hidden"):
-            bad = bad or (name == "hidden" and value != "until-found") or value == "true"
+            hard = hard or (name == "hidden" and value != "until-found") or value == "true"
             continue
-        words = WORDS.findall(value)
-        bad = bad or bool(MARKS.intersection(words)) or value in ("complementary", "contentinfo", "banner")
+        hard = hard or (name == "role" and value in ("complementary", "contentinfo", "banner", "navigation", "search"))
+        for one in value.split():
+            words = set(WORDS.findall(one))
+            soft = soft or (bool(words & MARKS) and words <= MARKS | NEUTRAL)
         # Numbers in a name count pages, not kinds of elements.
         found.append(re.sub(r"\d+", "0", value))
-    return "." + ".".join(found) if found else "", bad
+    return "." + ".".join(found) if found else "", hard, soft
+
+
+class Block(NamedTuple):
+    """A text of a page: the tags around it, whether an element leaves it out, which of the tags have a name of furniture."""
+
+    path: tuple[str, ...]
+    hard: bool
+    soft: tuple[int, ...]
+    text: str
+    links: int
+
+    def inside(self, depth: int) -> bool:
+        """Whether nothing from the tag number ``depth`` on leaves it out."""
+        return not self.hard and not any(k >= depth for k in self.soft)
 
 
-def blocks_of(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, str, int]]]:
-    """Token stream of a page, and its text blocks as (enclosing tags, in furniture, text, characters in links)."""
+def blocks_of(page: str) -> tuple[list[str], list[Block]]:
+    """Token stream of a page, and its text blocks."""
     stream: list[str] = []
-    blocks: list[tuple[tuple[str, ...], bool, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, token, furniture or silent from here on
+    blocks: list[Block] = []
+    stack: list[tuple[str, str, bool, bool]] = []  # name, token, left out from here on, has a name of furniture
     parts: list[str] = []
     links, in_link = 0, 0
 
@@ -90,14 +118,14 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append((tuple(t for _, t, _ in stack), bool(stack and stack[-1][2]), text, links))
+                soft = tuple(k for k, x in enumerate(stack) if x[3])
+                blocks.append(Block(tuple(x[1] for x in stack), bool(stack and stack[-1][2]), soft, text, links))
                 stream.append("#")
             parts.clear()
         links = 0
 
     def pop() -> None:
-        name, token, _ = stack.pop()
-        stream.append("/" + token)
+        stream.append("/" + stack.pop()[1])
 
     hidden_inline: list[str] = []
     for m in TOKEN.finditer(page):
@@ -122,19 +150,19 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
                     hidden_inline.pop()
                 elif name == hidden_inline[-1] and name not in VOID:
                     hidden_inline.append(name)
-            elif not m["end"] and name not in VOID and _marks(m["attrs"])[1]:
+            elif not m["end"] and name not in VOID and any(_marks(m["attrs"])[1:]):
                 hidden_inline.append(name)
             continue
         hidden_inline.clear()
         in_link = 0
         close_block()
         if m["end"]:
-            if any(n == name for n, _, _ in stack):
+            if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
-        if name in ENDS_PARAGRAPH and any(n == "p" for n, _, _ in stack):
+        if name in ENDS_PARAGRAPH and any(x[0] == "p" for x in stack):
             while stack[-1][0] in ("p",):
                 pop()
         if name in ENDS_OWN:
@@ -147,13 +175,13 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
         if name == "body":
             while stack and stack[-1][0] == "head":
                 pop()
-        label, bad = _marks(m["attrs"])
+        label, hard, soft = _marks(m["attrs"])
         token = name + label
         stream.append(token)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            bad = bad and name not in ("html", "body")
+            whole = name in ("html", "body")
             above = bool(stack and stack[-1][2])
-            stack.append((name, token, above or bad or name in SILENT or name in FURNITURE))
+            stack.append((name, token, above or (hard and not whole) or name in SILENT or name in FURNITURE, soft and not whole))
     close_block()
     while stack:
         pop()
@@ -396,21 +424,19 @@ def _main_of(path: str) -> str | None:
 
 
 def page_slots(page: str, expression_: Expression) -> dict[int, list]:
-    """Figures of the slots of a page without an article, by slot: [pages, texts, first text, varies, characters, link characters, distinct pages]."""
+    """Figures of the slots of a page, by slot: [pages, texts, first text, varies, characters, link characters, distinct pages]."""
     stream, blocks = blocks_of(page)
-    if any(not bad and _main_of(" ".join(path)) for path, bad, _, _ in blocks):
-        return {}
-    whole = hash_of("\n".join(text for _, bad, text, _ in blocks if not bad))
+    whole = hash_of("\n".join(b.text for b in blocks if not b.hard))
     slots: dict[int, list] = {}
-    for (_, bad, text, links), at in zip(blocks, expression_.slots_of(stream)):
-        if at is None or bad:
+    for b, at in zip(blocks, expression_.slots_of(stream)):
+        if at is None or b.hard:
             continue
-        named = hash_of(text)
+        named = hash_of(b.text)
         slot = slots.setdefault(at, [1, 0, named, False, 0, 0, [whole]])
         slot[1] += 1
         slot[3] = slot[3] or slot[2] != named
-        slot[4] += len(text)
-        slot[5] += links
+        slot[4] += len(b.text)
+        slot[5] += b.links
     return slots
 
 
@@ -424,40 +450,74 @@ def merged_slots(x: dict, y: dict) -> dict:
     return slots
 
 
+def _varies(slot: list) -> bool:
+    return len(slot[6]) < DISTINCT or slot[3] or slot[1] > 2 * slot[0]
+
+
 def main_slots(wrapper: dict) -> dict[int, int]:
-    """Slots that can be main text on a page without an article, with their characters."""
+    """Slots that hold content, with their characters."""
     text = {int(k): s for k, s in wrapper["slots"].items() if 2 * s[5] <= s[4]}
-    body = {k: s[4] for k, s in text.items() if len(s[6]) < DISTINCT or s[3] or s[1] > 2 * s[0]}
+    body = {k: s[4] for k, s in text.items() if _varies(s)}
     # Where nothing varies at all, the pages differ in links only and are copies.
     return body or {k: s[4] for k, s in text.items()}
 
 
+def same_slots(wrapper: dict) -> list[int]:
+    """Slots that say the same on most pages of the host."""
+    return sorted(int(k) for k, s in wrapper["slots"].items() if not _varies(s) and 2 * s[0] >= wrapper["pages"])
+
+
 class Chooser:
-    """The expression of a host and its slots that can be main text."""
+    """The expression of a host, its slots with content, and those that are the same everywhere."""
 
-    def __init__(self, items: list, body: dict[int, int]):
-        self.expression, self.body = Expression(items), body
+    def __init__(self, items: list, body: dict[int, int], same: list[int]):
+        self.expression, self.body, self.same = Expression(items), body, set(same)
         self.paths: dict[str, int] = {}
         for k, n in body.items():
             self.paths[self.expression.paths[k]] = max(n, self.paths.get(self.expression.paths[k], 0))
 
-    def sizes(self, stream: list[str], keys: list[str]) -> list[int]:
-        """For each text of a page how much its slot holds on the host, 0 if it cannot be main. A text without a slot counts by its path."""
-        return [self.paths.get(key, 0) if at is None else self.body.get(at, 0) for at, key in zip(self.expression.slots_of(stream), keys)]
+    def slots(self, stream: list[str], keys: list[str]) -> tuple[list[int], list[bool]]:
+        """For each text of a page how much its slot holds on the host, 0 if that is no content, and whether it is the same everywhere.
+
+        A text without a slot counts by its path.
+        """
+        slots = self.expression.slots_of(stream)
+        sizes = [self.paths.get(key, 0) if at is None else self.body.get(at, 0) for at, key in zip(slots, keys)]
+        return sizes, [at in self.same for at in slots]
 
 
 def main_text(page: str, chosen: Chooser | None) -> str:
     """Main blocks of a page joined by newlines; without a wrapper, only those in articles."""
     stream, blocks = blocks_of(page)
-    keys = [" ".join(path) for path, *_ in blocks]
-    kept = [text for key, (_, bad, text, _) in zip(keys, blocks) if not bad and _main_of(key)]
-    if not kept and chosen is not None:
-        sizes = [0 if bad else n for (_, bad, _, _), n in zip(blocks, chosen.sizes(stream, keys))]
-        if any(sizes):
-            # Texts that no tag encloses have no parent.
-            parent = keys[sizes.index(max(sizes))].rpartition(" ")[0]
-            kept = [text for key, n, (_, _, text, _) in zip(keys, sizes, blocks) if n and (not parent or (key + " ").startswith(parent + " "))]
-    return "\n".join(kept)
+    keys = [" ".join(b.path) for b in blocks]
+    around = [_main_of(key) for key in keys]
+    # Names of furniture count below the article and not for what is around it.
+    article = [k for k, (b, top) in enumerate(zip(blocks, around)) if top is not None and b.inside(len(top.split(" ")))]
+    if chosen is None:
+        return "\n".join(blocks[k].text for k in article)
+    sizes, same = chosen.slots(stream, keys)
+    open_ = [k for k, b in enumerate(blocks) if sizes[k] and around[k] is None and not b.hard]
+    largest = max((k for k in open_ if blocks[k].inside(0)), default=None, key=lambda k: (sizes[k], -k))
+    if largest is None:
+        # All content is under some name of furniture, which then is a name of the page.
+        largest = max(open_, default=None, key=lambda k: (sizes[k], -k))
+    other: list[int] = []
+    if largest is not None:
+        # Texts that no tag encloses have no parent.
+        parent = keys[largest].rpartition(" ")[0]
+        depth = len(blocks[largest].path) - 1
+        other = [k for k in open_ if blocks[k].inside(depth) and (not parent or (keys[k] + " ").startswith(parent + " "))]
+        other = other or [largest]
+
+    def weight(those: list[int]) -> int:
+        return sum(len(blocks[k].text) for k in those if not same[k])
+
+    if not article or weight(other) > ARTICLE * weight(article):
+        kept = other
+    else:
+        kept = article
+    told = [k for k in kept if not same[k] or (blocks[k].path and blocks[k].path[-1].split(".")[0] in HEADINGS)]
+    return "\n".join(blocks[k].text for k in (told if any(not same[k] for k in told) else kept))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -559,19 +619,19 @@ def extracted(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by one newline. Menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out, by element or by the words of
-    their class, id or role. A null or empty html gives an empty text; a null url belongs to the host ``""``. Rows that repeat come
+    footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out: by element, by the words of
+    their class, id or role inside the main part, or as slots of the host's wrapper without content. A null or empty html gives an empty text; a null url belongs to the host ``""``. Rows that repeat come
     back as often. A page of a host that ``wrappers`` does not have gives the text of its articles.
     """
     if wrappers is None:
         wrappers = infer(pages)
-    packed = stored(_packed(wrappers, lambda w: [w["items"], sorted(main_slots(w).items())]), "main-slots")
+    packed = stored(_packed(wrappers, lambda w: [w["items"], sorted(main_slots(w).items()), same_slots(w)]), "main-slots")
     rows = with_host(pages).select("page_id", "url", "html", "host").join(packed, "host", "left").select("page_id", "url", "html", "packed")
     kinds = dict(rows.dtypes)
 
     def run(batches):
         sys.setrecursionlimit(DEEPEST)
-        opened = _Opened(lambda x: Chooser(x[0], dict(x[1])))
+        opened = _Opened(lambda x: Chooser(x[0], dict(x[1]), x[2]))
         for batch in batches:
             found = [main_text(page, None if one is None else opened[one]) for page, one in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
