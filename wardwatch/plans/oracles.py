@@ -322,7 +322,7 @@ FROM alarms""",
         """
 timed AS (SELECT *, (epoch_us(ts) % 1009 - 20) * 1000 + epoch_us(ts) % 997 AS delay FROM alarms),
 recent AS (SELECT greatest(0, delay) / 1000.0 AS ms FROM timed
-           ORDER BY epoch_us(received_at) + delay DESC, received_at DESC, dedup_key DESC LIMIT 5000),
+           ORDER BY epoch_us(received_at) + delay DESC, received_at DESC, dedup_key DESC LIMIT 1000),
 placed AS (SELECT ms, row_number() OVER (ORDER BY ms) AS n, count(*) OVER () AS total FROM recent)
 """,
     )
@@ -331,6 +331,7 @@ placed AS (SELECT ms, row_number() OVER (ORDER BY ms) AS n, count(*) OVER () AS
 FROM placed""",
     "r1_state_as_of": _STATE_SQL,
     "r2_restore_equals_full": _STATE_SQL,
+    "r2_stream_restore": _STATE_SQL,
     "s6_snapshot_versions": _with(
         _FEED, _VISIBLE.replace("WHERE received_at <=", f"WHERE received_at < {_SNAPSHOT} AND received_at <="), _CURRENT, _RETAINED, _STATE
     )

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wardwatch.functions.timeline import as_of_literal
 from wardwatch.operators.recovery import STATE_TABLES, State, contributions, merge_state
 from wardwatch.schema import BEAT_WINDOW_SECONDS, RETAIN_SECONDS
 from wardwatch.sources import keyed_state
 from wardwatch.sources.event_log import stream_log
-from wardwatch.sources.snapshots import STATE_DDL
+from wardwatch.sources.snapshots import STATE_DDL, read_latest
 
 #: T4: one row per device and one per room.
 LATEST_TABLES = ("device_last", "room_presence")
@@ -27,6 +28,26 @@ def read_state(spark: SparkSession, folder: str) -> State | None:
     return {name: version.read(spark, name, STATE_DDL[name]) for name in names}
 
 
+def start_from_snapshot(spark: SparkSession, snapshots_folder: str, state_folder: str) -> str | None:
+    """R2 handover: the newest snapshot as the first version of the state; its time, from which the log is to be read.
+
+    Does nothing, and answers with the state's own time, where there is a state; None without a snapshot, when the whole log is to be read.
+    """
+    there = keyed_state.latest(spark, state_folder)
+    if there is not None:
+        return there.stamp.split(",")[0]
+    snapshot = read_latest(spark, snapshots_folder)
+    if snapshot is None:
+        return None
+    places = {}
+    for name, rows in snapshot.state.items():
+        found = keyed_state.written(spark, state_folder, name, rows.withColumn("bucket", keyed_state.bucket_of(STATE_KEYS[name])))
+        places |= keyed_state.replaced(None, name, [], found)
+    stamp = snapshot.snapshot_ts.strftime("%Y-%m-%d %H:%M:%S.%f")
+    keyed_state.commit(spark, state_folder, None, f"snapshot {snapshot.version}", ",".join([stamp, *snapshot.state]), places)
+    return stamp
+
+
 def start_state(
     spark: SparkSession,
     log_path: str,
@@ -36,6 +57,7 @@ def start_state(
     retain_seconds: int = RETAIN_SECONDS,
     max_files_per_trigger: int = 1000,
     tables: Sequence[str] = STATE_TABLES,
+    since: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """T5: keep the state tables current from the log; T4 with ``tables=LATEST_TABLES``.
@@ -44,7 +66,8 @@ def start_state(
     these alone; all others are carried over by name. Values are ranked by their own
     times and every merge may be repeated, so a lost or new checkpoint on the same folder starts from the state
     that is there, reads the log again, and never answers with less than it knew. The commit names the batch;
-    a batch that is repeated after its commit writes nothing.
+    a batch that is repeated after its commit writes nothing. ``since`` (R2) leaves out rows received before it: give the time that
+    ``start_from_snapshot`` answers with.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -81,6 +104,9 @@ def start_state(
             rows.unpersist()
 
     stateful = stream_log(spark, log_path, max_files_per_trigger).where(F.col("type").isin("heartbeat", "presence"))
+    if since is not None:
+        start = as_of_literal(since)
+        stateful = stateful.where((F.col("received_at") >= start) & (F.col("event_date") >= F.to_date(start)))
     return (
         stateful.writeStream.foreachBatch(advance)
         .option("checkpointLocation", checkpoint)
