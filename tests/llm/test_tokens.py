@@ -110,7 +110,7 @@ def test_patterns_use_every_length_once(counts):
 def test_memory_is_bounded_on_texts_without_spaces(spark):
     r = random.Random(1)
     texts = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(800)) for _ in range(40)]
-    memory = bpe.Remembered(lambda key: key * 5)
+    memory = bpe.Remembered(lambda key: key * 5, longest=bpe.LONGEST)
     for text in texts:
         assert memory.all([text.encode(), b"short"]) == [text.encode() * 5, b"short" * 5]
     assert set(memory.new) == {b"short"} and not memory.old

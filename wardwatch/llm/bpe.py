@@ -58,7 +58,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.words = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.known = Remembered(self._word, REMEMBERED // 2)
+        self.known = Remembered(self._word, REMEMBERED // 2, LONGEST)
 
     def _merge(self, parts: list[int]) -> list[int]:
         merges = self.merges
@@ -128,13 +128,13 @@ class WordBpe:
 
 
 class Remembered:
-    """``make(key)`` for each key; those of at most ``LONGEST`` bytes or letters are kept in two generations of at most ``limit``."""
+    """``make(key)`` for each key, kept in two generations of at most ``limit`` keys; keys of over ``longest`` bytes or letters are not kept."""
 
-    def __init__(self, make, limit: int = REMEMBERED):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+    def __init__(self, make, limit: int = REMEMBERED, longest: int | None = None):
+        self.make, self.limit, self.longest, self.new, self.old = make, limit, longest, {}, {}
 
     def one(self, key):
-        if len(key) > LONGEST:
+        if self.longest is not None and len(key) > self.longest:
             return self.make(key)
         value = self.new.get(key)
         if value is None:
@@ -169,7 +169,7 @@ def model(path: str) -> tuple[WordBpe, Remembered]:
             ids = bpe.piece(piece.decode())
             return len(ids), b" ".join([b"%d" % i for i in ids]), " ".join([bpe.names[i] for i in ids]).encode()
 
-        return bpe, Remembered(make)
+        return bpe, Remembered(make, longest=LONGEST)
 
     return hold(f"own ids {path}", load)
 

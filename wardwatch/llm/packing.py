@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardwatch.llm.bpe import REMEMBERED, Remembered, byte_letters, pieces_of
+from wardwatch.llm.bpe import LONGEST, REMEMBERED, Remembered, byte_letters, pieces_of
 from wardwatch.llm.tables import stored, texts
 from wardwatch.llm.worker import hold
 
@@ -50,7 +50,7 @@ def _token_bytes(path: str) -> Remembered:
             name = word if word.isascii() else "".join([letters[b] for b in word.encode()])
             return np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
 
-        words = Remembered(make_word, REMEMBERED // 2)
+        words = Remembered(make_word, REMEMBERED // 2, LONGEST)
         marks = {mark: whole(mark) for mark in ",."}
 
         def make(piece: bytes) -> bytes:
@@ -61,7 +61,7 @@ def _token_bytes(path: str) -> Remembered:
             low = core.lower()
             return words.one(low) + marks.get(mark, b"") if len(low) == len(core) else whole(text)
 
-        return Remembered(make)
+        return Remembered(make, longest=LONGEST)
 
     return hold(f"library ids {path}", load)
 
