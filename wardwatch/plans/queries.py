@@ -37,6 +37,7 @@ BEAT_INTERVAL = 43_200.0
 RETENTION = 2 * DAY
 WINDOWS = ("1440m", "168h", "2419200", "0", "-5m", "soon", "1d")
 PARSE_TASKS = 8
+STATE_BUCKETS = 4
 HOLD_SECONDS = 2 * 3600
 SLICES = ("2024-01-01", "2024-01-11 12:00:00", "2024-01-20", "2024-03-01")
 ALARMS_SINCE = 1705708800.0  # 2024-01-20 00:00:00 UTC
@@ -474,9 +475,9 @@ def r2_stream_restore(spark, sf_dir):
     event_log.append_arrivals(feed_arrivals(spark, sf_dir).where(F.col("received_at") <= AS_OF), f"{path}/log")
     before = event_log.read_log(spark, f"{path}/log").where(F.col("received_at") < SNAPSHOT_TS)
     snapshots.write_snapshot(recovery.state_as_of(before, AS_OF, WEEK, RETENTION), f"{path}/snapshots", 1, SNAPSHOT_TS)
-    since = state_stream.start_from_snapshot(spark, f"{path}/snapshots", f"{path}/state")
+    since = state_stream.start_from_snapshot(spark, f"{path}/snapshots", f"{path}/state", STATE_BUCKETS)
     state_stream.start_state(
-        spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", WEEK, RETENTION, since=since
+        spark, f"{path}/log", f"{path}/state", f"{path}/checkpoint", WEEK, RETENTION, since=since, buckets=STATE_BUCKETS
     ).awaitTermination()
     return recovery.state_rows(state_stream.read_state(spark, f"{path}/state"))
 
@@ -553,7 +554,7 @@ def _run_state_twice(spark: SparkSession, log: str, tables) -> dict[str, DataFra
     spark.read.parquet(log).where(F.dayofmonth("ts") % 2 == 0).write.partitionBy("outcome").parquet(part)
     for source, checkpoint in ((part, "lost"), (log, "new")):
         state_stream.start_state(
-            spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, 1, tables
+            spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, 1, tables, buckets=STATE_BUCKETS
         ).awaitTermination()
     return state_stream.read_state(spark, f"{path}/state")
 

@@ -28,7 +28,9 @@ def read_state(spark: SparkSession, folder: str) -> State | None:
     return {name: version.read(spark, name, STATE_DDL[name]) for name in names}
 
 
-def start_from_snapshot(spark: SparkSession, snapshots_folder: str, state_folder: str) -> str | None:
+def start_from_snapshot(
+    spark: SparkSession, snapshots_folder: str, state_folder: str, buckets: int = keyed_state.BUCKETS
+) -> str | None:
     """R2 handover: the newest snapshot as the first version of the state; its time, from which the log is to be read.
 
     Does nothing, and answers with the state's own time, where there is a state; None without a snapshot, when the whole log is to be read.
@@ -41,7 +43,7 @@ def start_from_snapshot(spark: SparkSession, snapshots_folder: str, state_folder
         return None
     places = {}
     for name, rows in snapshot.state.items():
-        found = keyed_state.written(spark, state_folder, name, rows.withColumn("bucket", keyed_state.bucket_of(STATE_KEYS[name])))
+        found = keyed_state.written(spark, state_folder, name, rows.withColumn("bucket", keyed_state.bucket_of(STATE_KEYS[name], buckets=buckets)))
         places |= keyed_state.replaced(None, name, [], found)
     stamp = snapshot.snapshot_ts.strftime("%Y-%m-%d %H:%M:%S.%f")
     keyed_state.commit(spark, state_folder, None, f"snapshot {snapshot.version}", ",".join([stamp, *snapshot.state]), places)
@@ -58,6 +60,7 @@ def start_state(
     max_files_per_trigger: int = 1000,
     tables: Sequence[str] = STATE_TABLES,
     since: str | None = None,
+    buckets: int = keyed_state.BUCKETS,
     **trigger,
 ) -> StreamingQuery:
     """T5: keep the state tables current from the log; T4 with ``tables=LATEST_TABLES``.
@@ -67,7 +70,7 @@ def start_state(
     times and every merge may be repeated, so a lost or new checkpoint on the same folder starts from the state
     that is there, reads the log again, and never answers with less than it knew. The commit names the batch;
     a batch that is repeated after its commit writes nothing. ``since`` (R2) leaves out rows received before it: give the time that
-    ``start_from_snapshot`` answers with.
+    ``start_from_snapshot`` answers with. ``buckets`` stays the same for a folder.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -85,20 +88,20 @@ def start_state(
             if previous is not None:
                 newest = max(newest, previous.stamp.split(",")[0])
             kinds = {"device_id": "heartbeat", "room_id": "presence"}
-            buckets = {
-                key: keyed_state.touched(rows.where(F.col("type") == kind).select(keyed_state.bucket_of(key).alias("bucket")))
+            mine = {
+                key: keyed_state.touched(rows.where(F.col("type") == kind).select(keyed_state.bucket_of(key, buckets=buckets).alias("bucket")))
                 for key, kind in kinds.items()
             }
             parts = [contributions(rows)]
             if previous is not None:
-                held = {n: previous.read(session, n, STATE_DDL[n], buckets[STATE_KEYS[n]]) for n in tables}
+                held = {n: previous.read(session, n, STATE_DDL[n], mine[STATE_KEYS[n]]) for n in tables}
                 parts.insert(0, held)
             merged = merge_state(parts, beat_window, retain_seconds, tables)
             places = {}
             for name in tables:
                 key = STATE_KEYS[name]
-                found = keyed_state.written(session, state_folder, name, merged[name].withColumn("bucket", keyed_state.bucket_of(key)))
-                places |= keyed_state.replaced(previous, name, buckets[key], found)
+                found = keyed_state.written(session, state_folder, name, merged[name].withColumn("bucket", keyed_state.bucket_of(key, buckets=buckets)))
+                places |= keyed_state.replaced(previous, name, mine[key], found)
             keyed_state.commit(session, state_folder, previous, writer, ",".join([newest, *tables]), places)
         finally:
             rows.unpersist()
