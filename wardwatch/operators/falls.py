@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardwatch.functions.keys import dedup_key
 from wardwatch.functions.timeline import as_of_literal
-from wardwatch.operators.holding import openings
+from wardwatch.operators.holding import openings, stored
 from wardwatch.schema import ALARM_COLUMNS, DEDUP_TTL_SECONDS, MICROS
 
 
@@ -79,7 +79,8 @@ def fall_outcomes(events: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS) -> Da
     end opens a new one. Falls of one key received at the same microsecond share a row per outcome and are
     counted in ``copies``: one of them is accepted at most. A key's arrivals are spread over time buckets, see ``holding``.
     """
-    arrivals = arrivals_of(events)
+    # Read several times below: the falls are scanned and hashed once.
+    arrivals = stored(arrivals_of(events), "arrivals")
     first = arrivals.groupBy("dedup_key").agg(F.min("t").alias("first"))
     accepted = openings(arrivals.select("dedup_key", "t"), ["dedup_key"], ttl_seconds * MICROS).join(first, "dedup_key")
     outcome = F.when(F.col("t") == F.col("first"), "new").otherwise("dedup_post_ttl")

@@ -22,7 +22,8 @@ from wardwatch.session import new_table_path
 PLANNED_ROUNDS = 3
 
 
-def _stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read again."""
     path = new_table_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
@@ -55,7 +56,7 @@ def openings(arrivals: DataFrame, keys: Sequence[str], hold: int) -> DataFrame:
             above = links.select(*keys, F.col("t").alias("n"), F.col("n").alias("m"))
             links = links.join(above, [*keys, "n"]).select(*keys, "t", F.col("m").alias("n"))
         if rounds > PLANNED_ROUNDS:
-            found, links = _stored(found.distinct(), "openings"), _stored(links, "links")
+            found, links = stored(found.distinct(), "openings"), stored(links, "links")
     return found.distinct() if rounds else found
 
 
