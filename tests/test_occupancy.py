@@ -148,3 +148,45 @@ def test_all_rooms_equals_listed_rooms_and_needs_one_scan(spark, retain):
     if retain is None:
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
         assert plan.count("Scan") == 1 and "Join" not in plan
+
+
+def asked(spark, rows):
+    return spark.createDataFrame(rows, "room_id STRING, moment TIMESTAMP_NTZ")
+
+
+@pytest.mark.parametrize("seed,slice_seconds", [(21, 7), (22, 600), (23, 100_000)])
+def test_presence_at_many_moments_against_a_search(spark, seed, slice_seconds):
+    rng = random.Random(seed)
+    rows = random_rows(seed)
+    moments = [(f"r{rng.randint(0, 4)}", at(rng.randint(-4200, 100))) for _ in range(300)]
+    moments += [(row[1], row[3]) for row in rows[:50]] + moments[:20]
+    moments += [(row[1], row[3] - timedelta(microseconds=1)) for row in rows[:50]]
+    found = plain(O.presence_at(events(spark, rows), asked(spark, moments), NOW, slice_seconds))
+    expected = set()
+    for room, moment in set(moments):
+        past = [(row[3], row[9]) for row in rows if row[1] == room and row[4] <= NOW and row[3] <= moment]
+        since, state = max(past) if past else (None, False)
+        expected.add((room, moment, state, since))
+    assert {tuple(row.values()) for row in found} == expected and len(found) == len(expected)
+
+
+def test_presence_at_without_room_moment_or_rows(spark):
+    log = events(spark, [seen(at(-50), True)])
+    blank = asked(spark, [(None, at(0)), ("r1", None), (None, None), ("r1", at(-50))])
+    found = {(row["room_id"], row["moment"]): (row["in_room"], row["since"]) for row in plain(O.presence_at(log, blank, NOW))}
+    nothing = (False, None)
+    assert found == {(None, at(0)): nothing, ("r1", None): nothing, (None, None): nothing, ("r1", at(-50)): (True, at(-50))}
+    assert plain(O.presence_at(events(spark, []), asked(spark, [("r1", at(0))]), NOW))[0]["in_room"] is False
+    assert plain(O.presence_at(log, asked(spark, []), NOW)) == []
+
+
+def test_presence_at_spreads_a_hot_room_and_reads_once(spark):
+    rows = [seen(at(-60 * i), i % 3 == 0) for i in range(4000)]
+    found = O.presence_at(events(spark, rows), asked(spark, [("r1", at(-30 * i)) for i in range(8000)]), NOW, 600)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert len(found.collect()) == 8000
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange") >= 1 and "BroadcastExchange" not in plan

@@ -120,6 +120,39 @@ def initial_state(events: DataFrame, as_of, window_seconds: int) -> DataFrame:
     )
 
 
+def presence_at(events: DataFrame, requests: DataFrame, as_of, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """A8 for many moments: the newest transition at or before each (room_id, moment) of ``requests``, and since when it holds.
+
+    One row per distinct request. Before the first transition of a room, or without a room or a moment, the state is false and
+    ``since`` is null. On equal times true is last and holds; a transition at the moment itself counts.
+
+    Transitions and requests are dealt together by (room, time slice), where a running maximum answers the requests that
+    follow a transition of their slice. One row per slice carries the last transition forward to the others, so a room
+    with a third of all rows is spread over its slices, and neither side is broadcast or sorted as a whole.
+    """
+    code = transition_code(F.col("ts"), F.col("in_room"))
+    told = presence_events(events, as_of).select("room_id", F.col("ts").alias("moment"), code.alias("code"))
+    asked = requests.select("room_id", F.col("moment").cast("timestamp").alias("moment"), F.lit(None).cast("bigint").alias("code"))
+    # As one value the key is never null, so the join adds no filter and both of its sides read the same exchange.
+    place = F.struct("room_id", time_slice(F.col("moment"), slice_seconds).alias("slice")).alias("place")
+    rows = told.unionByName(asked).select(place, "moment", "code").distinct()
+    until = Window.partitionBy("place").orderBy("moment").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    answered = rows.withColumn("inside", F.max("code").over(until))
+    before = Window.partitionBy("place.room_id").orderBy("place.slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = answered.groupBy("place").agg(F.max("inside").alias("tail")).select("place", F.max("tail").over(before).alias("carried"))
+    found = F.coalesce("inside", "carried")
+    return (
+        answered.where(F.col("code").isNull())
+        .join(carried, "place", "left")
+        .select(
+            "place.room_id",
+            "moment",
+            F.coalesce(code_in_room(found), F.lit(False)).alias("in_room"),
+            F.timestamp_micros(code_micros(found)).alias("since"),
+        )
+    )
+
+
 def _occupied(presence: DataFrame, now: Column, starts: Sequence[Column], slice_seconds: int) -> DataFrame:
     """Per room: occupied microseconds in ``[start, now]`` for each start, and the latest presence.
 

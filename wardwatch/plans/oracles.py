@@ -252,6 +252,11 @@ FROM (SELECT DISTINCT room_id FROM presence) r
 LEFT JOIN (SELECT room_id, in_room, row_number() OVER (PARTITION BY room_id ORDER BY t DESC, in_room DESC) AS n
            FROM presence WHERE t <= epoch_us({_AS_OF}) - {_WEEK_US}) s
   ON s.room_id = r.room_id AND s.n = 1""",
+    "a8_as_of_join": _with(_FEED, _VISIBLE)
+    + """SELECT q.room_id, q.moment, coalesce(p.in_room, false) AS in_room, p.ts AS since
+FROM (SELECT DISTINCT room_id, ts AS moment FROM visible WHERE type IN ('motion', 'fall_warn')) q
+ASOF LEFT JOIN (SELECT room_id, ts, bool_or(in_room) AS in_room FROM presence GROUP BY room_id, ts) p
+  ON p.room_id = q.room_id AND q.moment >= p.ts""",
     "a9_occupied_seconds": _with(_FEED, _VISIBLE, _occupied("presence", _WEEK))
     + """SELECT r.room_id, round(coalesce(us, 0) / 1000000.0, 6) AS occupied_seconds
 FROM (SELECT DISTINCT room_id FROM presence) r LEFT JOIN occupied o ON o.room_id = r.room_id""",

@@ -342,6 +342,14 @@ def a8_initial_state(spark, sf_dir):
     return occupancy.initial_state(feed_events(spark, sf_dir), AS_OF, WEEK)
 
 
+@query
+def a8_as_of_join(spark, sf_dir):
+    # Whether a room was occupied when something moved or fell there.
+    events = feed_events(spark, sf_dir)
+    requests = health.visible(events, AS_OF).where(F.col("type").isin("motion", "fall_warn")).select("room_id", F.col("ts").alias("moment"))
+    return occupancy.presence_at(events, requests, AS_OF, DAY)
+
+
 @query
 def a9_occupied_seconds(spark, sf_dir):
     seconds = occupancy.occupied_seconds(feed_events(spark, sf_dir), AS_OF, WEEK)
