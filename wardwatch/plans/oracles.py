@@ -363,6 +363,16 @@ FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13
 FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13 <> 0)""",
     "f3_stream_outcomes": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"), _FALL_WALK, recursive=True)
     + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
+    # A key is over when the newest event of the log is later than the end of its second by two hours.
+    "f7_stream_reconcile": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"))
+    + f"""SELECT *, CASE WHEN alarms > expected THEN 'leak' WHEN alarms < expected THEN 'miss' ELSE 'match' END AS verdict
+FROM (SELECT dedup_key, room_id, date_trunc('second', ts) AS fall_second, CAST(1 AS BIGINT) AS expected,
+             CAST(CASE WHEN room_id = 'room_003' THEN 2 WHEN room_id = 'room_004' AND received_at >= {_SNAPSHOT} THEN 0 ELSE 1 END AS BIGINT) AS alarms
+      FROM alarms
+      UNION ALL
+      SELECT dedup_key || ':stray', room_id, date_trunc('second', ts), CAST(0 AS BIGINT), CAST(1 AS BIGINT)
+      FROM alarms WHERE room_id = 'room_005')
+WHERE fall_second + INTERVAL '1' SECOND <= (SELECT max(ts) FROM wired) - INTERVAL '2' HOUR""",
     "o1_reordered_stream": _with(_FEED, _windows("wired", "device_id"), recursive=True)
     + """SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY open, ts, received_at, seq) AS position, ts, received_at, seq,
        make_timestamp(open + 7200000000) AS released_at

@@ -27,7 +27,7 @@ from wardwatch.sources.device_feed import (
 )
 from wardwatch.sources.raw_json import read_raw
 from wardwatch.streaming import alarms as alarm_stream
-from wardwatch.streaming import ingest, ordered as ordered_stream, state as state_stream
+from wardwatch.streaming import ingest, ordered as ordered_stream, reconcile as reconcile_stream, state as state_stream
 
 AS_OF = "2024-01-30 00:00:00"
 SNAPSHOT_TS = "2024-01-20 00:00:00"
@@ -638,6 +638,22 @@ def f3_stream_outcomes(spark, sf_dir):
     return alarm_stream.alarm_outcomes(spark, f"{folder}/outcomes")
 
 
+@query
+def f7_stream_reconcile(spark, sf_dir):
+    # As f7_reconcile, and one room has alarms of keys that no fall has.
+    log = _stream_log(spark, sf_dir)
+    path = new_table_path(spark, "reconcile")
+    alarms = falls.alarms_from_falls(event_log.read_log(spark, log))
+    lost = (F.col("room_id") == "room_004") & (F.col("received_at") >= SNAPSHOT_TS)
+    stray = alarms.where(F.col("room_id") == "room_005").withColumn("dedup_key", F.concat("dedup_key", F.lit(":stray")))
+    alarm_table.append_alarms(alarms.where(~lost).unionByName(stray), f"{path}/alarms", "first")
+    alarm_table.append_alarms(alarms.where(F.col("room_id") == "room_003"), f"{path}/alarms", "again")
+    job = reconcile_stream.start_reconcile(spark, log, f"{path}/alarms", f"{path}/table", f"{path}/checkpoint")
+    job.awaitTermination()
+    ingest.raise_if_dropped(job)
+    return reconcile_stream.read_reconciled(spark, f"{path}/table")
+
+
 @query
 def f6_stream_feed(spark, sf_dir):
     path = new_table_path(spark, "feed")

@@ -38,14 +38,14 @@ def start_log(raw_stream: DataFrame, path: str, checkpoint: str, parse_tasks: in
     )
 
 
-def with_event_watermark(events: DataFrame) -> DataFrame:
+def with_event_watermark(events: DataFrame, wait: str = WATERMARK) -> DataFrame:
     """Watermark that drops no accepted event while receipts do not go back between batches.
 
     An accepted ``ts`` is within one hour of its receipt on both sides, so it is never more than two hours
     behind the newest one. A backlog may go back; end such a query with ``raise_if_dropped``. The alarm and state jobs
-    use no watermark.
+    use no watermark, the reconciliation does.
     """
-    return events.withWatermark("ts", WATERMARK)
+    return events.withWatermark("ts", wait)
 
 
 def raise_if_dropped(query: StreamingQuery) -> None:
