@@ -66,16 +66,18 @@ def alarm_latency(dispatched: DataFrame) -> DataFrame:
     )
 
 
+def last_dispatched(dispatched: DataFrame, samples: int = LATENCY_SAMPLES) -> DataFrame:
+    """The ``samples`` alarms dispatched last; equal times go by receipt and key. A top-k: tasks send at most ``samples`` rows."""
+    newest_first = [F.col(name).desc() for name in ("dispatched_at", "received_at", "dedup_key")]
+    return dispatched.orderBy(*newest_first).limit(samples)
+
+
 def alarm_latency_p95(dispatched: DataFrame, samples: int = LATENCY_SAMPLES) -> DataFrame:
     """M4: nearest-rank 95th percentile of the last ``samples`` latencies, rounded half to even; 0 when empty.
 
-    The sample window is the metric's own definition. It is a top-k: tasks send at most ``samples`` rows.
+    The sample window is the metric's own definition.
     """
-    recent = (
-        alarm_latency(dispatched)
-        .orderBy(F.col("dispatched_at").desc(), F.col("received_at").desc(), F.col("dedup_key").desc())
-        .limit(samples)
-    )
+    recent = last_dispatched(alarm_latency(dispatched), samples)
     p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
     return recent.agg(
         F.coalesce(F.bround(p95, 0).cast("bigint"), F.lit(0).cast("bigint")).alias("alarm_feed_latency_ms_p95"),

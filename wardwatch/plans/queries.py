@@ -27,7 +27,7 @@ from wardwatch.sources.device_feed import (
 )
 from wardwatch.sources.raw_json import read_raw
 from wardwatch.streaming import alarms as alarm_stream
-from wardwatch.streaming import ingest, ordered as ordered_stream, reconcile as reconcile_stream, state as state_stream
+from wardwatch.streaming import ingest, latency as latency_stream, ordered as ordered_stream, reconcile as reconcile_stream, state as state_stream
 
 AS_OF = "2024-01-30 00:00:00"
 SNAPSHOT_TS = "2024-01-20 00:00:00"
@@ -638,6 +638,18 @@ def f3_stream_outcomes(spark, sf_dir):
     return alarm_stream.alarm_outcomes(spark, f"{folder}/outcomes")
 
 
+@query
+def m4_stream_p95(spark, sf_dir):
+    # The alarm table grows by slices, the newest first; the ring is kept up after each.
+    path = new_table_path(spark, "latency")
+    alarms = _alarms(spark, sf_dir)
+    for low, high in reversed(list(zip(SLICES, SLICES[1:]))):
+        part = alarms.where((F.col("received_at") >= low) & (F.col("received_at") < high))
+        alarm_table.append_alarms(part, f"{path}/table", low, _dispatch_moment())
+        latency_stream.start_latency(spark, f"{path}/table", f"{path}/ring", f"{path}/checkpoint", samples=1000).awaitTermination()
+    return latency_stream.latency_p95(spark, f"{path}/ring", samples=1000)
+
+
 @query
 def f7_stream_reconcile(spark, sf_dir):
     # As f7_reconcile, and one room has alarms of keys that no fall has.

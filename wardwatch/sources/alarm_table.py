@@ -33,6 +33,12 @@ def stream_alarms(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(STORED_DDL).parquet(path).select(*ALARM_COLUMNS)
 
 
+def stream_dispatched(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """As ``stream_alarms``, with the time of dispatch."""
+    stored = spark.readStream.schema(STORED_DDL).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+    return stored.select(*ALARM_COLUMNS, "dispatched_at")
+
+
 def _write(rows: DataFrame, path: str) -> None:
     (
         rows.repartitionByRange("alarm_date", "room_id", "ts")
