@@ -8,6 +8,7 @@ from __future__ import annotations
 
 _AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"
 _SNAPSHOT = "TIMESTAMP '2024-01-20 00:00:00'"
+_LOG_END = "TIMESTAMP '2024-02-01 00:00:00'"
 _WEEK_US = 604_800_000_000
 _RETENTION_US = 172_800_000_000
 
@@ -363,6 +364,10 @@ FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13
 FROM alarms WHERE dedup_key IN (SELECT dedup_key FROM falls WHERE event_id % 13 <> 0)""",
     "f3_stream_outcomes": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"), _FALL_WALK, recursive=True)
     + "SELECT dedup_key, received_at, outcome, count(*) AS copies FROM walk GROUP BY ALL",
+    "a3_stream_availability": _with(_FEED, _WIRED_VISIBLE)
+    + f"""SELECT device_id, max(ts) AS last_heartbeat_ts, count(DISTINCT w) AS beats, round(least(count(DISTINCT w) / 14.0, 1.0), 6) AS availability
+FROM (SELECT device_id, ts, CASE WHEN t BETWEEN epoch_us({_LOG_END}) - {_WEEK_US} AND epoch_us({_LOG_END}) THEN t END AS w FROM beats)
+GROUP BY device_id""",
     # A key is over when the newest event of the log is later than the end of its second by two hours.
     "f7_stream_reconcile": _with(_FEED, _FALLS.replace("FROM accepted", "FROM wired"))
     + f"""SELECT *, CASE WHEN alarms > expected THEN 'leak' WHEN alarms < expected THEN 'miss' ELSE 'match' END AS verdict

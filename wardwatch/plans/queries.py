@@ -27,12 +27,15 @@ from wardwatch.sources.device_feed import (
 )
 from wardwatch.sources.raw_json import read_raw
 from wardwatch.streaming import alarms as alarm_stream
+from wardwatch.streaming import availability as availability_stream
 from wardwatch.streaming import ingest, latency as latency_stream, ordered as ordered_stream, reconcile as reconcile_stream, state as state_stream
 
 AS_OF = "2024-01-30 00:00:00"
 SNAPSHOT_TS = "2024-01-20 00:00:00"
 DAY = 86_400
 WEEK = 7 * DAY
+#: After the last receipt of the log.
+LOG_END = "2024-02-01 00:00:00"
 BEAT_INTERVAL = 43_200.0
 RETENTION = 2 * DAY
 WINDOWS = ("1440m", "168h", "2419200", "0", "-5m", "soon", "1d")
@@ -638,6 +641,18 @@ def f3_stream_outcomes(spark, sf_dir):
     return alarm_stream.alarm_outcomes(spark, f"{folder}/outcomes")
 
 
+@query
+def a3_stream_availability(spark, sf_dir):
+    # A ring of days; the first two slices expire in part while the log grows.
+    folder = new_table_path(spark, "running-health")
+    for path in _in_slices(spark, sf_dir):
+        availability_stream.start_availability(
+            spark, path, f"{folder}/ring", f"{folder}/checkpoint", WEEK, DAY, STATE_BUCKETS
+        ).awaitTermination()
+    report = availability_stream.running_health(spark, f"{folder}/ring", LOG_END, WEEK, BEAT_INTERVAL)
+    return report.select("device_id", "last_heartbeat_ts", "beats", _six("availability"))
+
+
 @query
 def m4_stream_p95(spark, sf_dir):
     # The alarm table grows by slices, the newest first; the ring is kept up after each.
