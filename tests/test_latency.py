@@ -1,10 +1,14 @@
 import random
 from datetime import timedelta
 
+import duckdb
+from compare import compare, connect
 from conftest import at, event, events, plain
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from wardwatch.operators import falls, metrics
+from wardwatch.schema import LATENCY_SAMPLES
 from wardwatch.session import new_table_path
 from wardwatch.sources import alarm_table, keyed_state
 from wardwatch.streaming.latency import latency_p95, read_ring, start_latency
@@ -56,3 +60,13 @@ def test_a_batch_reads_its_own_alarms_alone(spark):
     # Each alarm is read once per pass over its batch, the stored ones of the first run never again.
     assert read[1] <= read[0] and read_ring(spark, f"{path}/ring").count() == 20
     assert keyed_state.latest(spark, f"{path}/ring").number == 1
+
+
+def test_the_query_takes_the_whole_window_of_the_metric(spark, tmp_path):
+    duckdb.sql(
+        "SELECT i AS event_id, TIMESTAMP '2024-01-02' + to_microseconds(i * 1_000_003) AS ts, i % 40 AS user_id, 'error' AS event_type, "
+        "10.0::DOUBLE AS value, '{}' AS props FROM range(7000) r(i)"
+    ).write_parquet(str(tmp_path / "events.parquet"))
+    good, note = compare(spark, connect(str(tmp_path)), "m4_alarm_p95", str(tmp_path))
+    assert good, note
+    assert plain(entry_points.queries()["m4_alarm_p95"](spark, str(tmp_path)))[0]["samples"] == LATENCY_SAMPLES == 5000
