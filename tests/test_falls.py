@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardwatch.operators import falls, metrics, ordering, recovery
 from wardwatch.operators.holding import openings
+from wardwatch.session import new_table_path
 
 
 def fall(ts, received_at=None, device="d1", room="r1", seq=None, confidence=0.9):
@@ -181,3 +182,15 @@ def test_latency_percentile(spark):
     assert metrics.alarm_latency_p95(half).first()[0] == 2
     early = spark.createDataFrame([(at(1), at(0), "k")], ddl)
     assert metrics.alarm_latency(early).first()["latency_ms"] == 0.0
+
+
+def test_openings_read_their_input_in_one_bounded_plan(spark):
+    path = new_table_path(spark, "times")
+    chain = [("long", 7 * k) for k in range(40)] + [(f"k{k % 9}", 100 * k) for k in range(60)]
+    spark.createDataFrame([*chain, (None, 3)], "k string, t long").write.parquet(path)
+    found = openings(spark.read.parquet(path), ["k"], 10)
+    assert sorted(r["t"] for r in found.collect() if r["k"] == "long") == list(range(0, 280, 14))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # What is left is the union of the rounds: the input is not read again, and no round is planned within another.
+    assert path not in " ".join(found.inputFiles()) and "Join" not in plan and "Window" not in plan
+    assert found.where("k is null").count() == 0

@@ -9,7 +9,6 @@ Rows of a key are spread over its buckets, and nothing gathers a key.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,9 +17,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wardwatch.schema import MICROS
 from wardwatch.session import new_table_path
 
-#: Rounds that are planned as one query; with more, each round is written to the shared folder.
-PLANNED_ROUNDS = 3
-
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read again."""
@@ -29,43 +25,62 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def _steps(arrivals: DataFrame, keys: Sequence[str], hold: int) -> DataFrame:
+    """(keys, t, n): with ``n`` null an arrival that opens a window whatever came before, else the link from ``t`` to ``n``.
+
+    One exchange by (key, bucket) answers both. Links to an arrival that opens a window anyway are left out.
+    """
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    data = arrivals.where(known).select(*keys, "t", F.floor(F.col("t") / hold).alias("c"))
+    own, end, behind = F.lit(0), F.lit(1), F.lit(2)
+    places = F.array(
+        F.struct(F.col("t"), F.col("c"), own.alias("kind")),
+        F.struct((F.col("t") + hold).alias("t"), (F.col("c") + 1).alias("c"), end.alias("kind")),
+    )
+    rows = data.select(*keys, F.explode(places).alias("p")).select(*keys, "p.*")
+    # The first arrival of the next bucket stands behind all of this one.
+    first = data.groupBy(*keys, "c").agg(F.min("t").alias("t"))
+    rows = rows.unionByName(first.select(*keys, "t", (F.col("c") - 1).alias("c"), behind.alias("kind")))
+    bucket = Window.partitionBy(*keys, "c")
+    later = bucket.orderBy(F.col("t").desc(), (F.col("kind") == end).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t, n = F.col("t"), F.col("n")
+    rows = rows.select(
+        *keys,
+        "t",
+        "kind",
+        F.min(F.when(F.col("kind") != end, t)).over(later).alias("n"),
+        F.min(F.when(F.col("kind") == own, t)).over(bucket).alias("first"),
+        F.max(F.when(F.col("kind") == own, t)).over(bucket).alias("last"),
+        F.max(F.when(F.col("kind") == end, t)).over(bucket).alias("until"),
+        F.max(F.when(F.col("kind") == behind, t)).over(bucket).alias("next"),
+    )
+    # After a gap: nothing earlier in the bucket, and no window that began in the bucket before reaches beyond it.
+    gap = F.col("until").isNull() | (F.col("until") <= F.col("first"))
+    free = (F.col("kind") == own) & t.eqNullSafe(F.col("first")) & F.coalesce(gap, F.lit(True))
+    to_free = (n.eqNullSafe(F.col("first")) & gap) | (n.eqNullSafe(F.col("next")) & (F.col("last").isNull() | (F.col("last") + hold <= n)))
+    link = (F.col("kind") == end) & n.isNotNull() & ~to_free
+    return rows.where(free | link).select(*keys, F.when(link, t - hold).otherwise(t).alias("t"), F.when(link, n).alias("n"))
+
+
 def openings(arrivals: DataFrame, keys: Sequence[str], hold: int) -> DataFrame:
     """(keys, t) of the arrivals that open a window. ``arrivals`` has distinct rows (keys, t), t in whole units of ``hold``.
 
     A window covers t to t + hold; an arrival exactly at its end opens the next. Keys are compared as joins do, so null keys are left out.
+    Links and each round are written to the shared folder, so that no round plans the ones before again.
     """
     keys = list(keys)
-    data = arrivals.select(*keys, "t", F.floor(F.col("t") / hold).alias("c"))
-    first = data.groupBy(*keys, "c").agg(F.min("t").alias("t"))
-    ends = data.select(*keys, (F.col("t") + hold).alias("t"), (F.col("c") + 1).alias("c"), F.lit(False).alias("is_arrival"))
-    # The first arrival of the next bucket stands behind all of this one.
-    behind = first.select(*keys, "t", (F.col("c") - 1).alias("c"), F.lit(True).alias("is_arrival"))
-    rows = data.withColumn("is_arrival", F.lit(True)).unionByName(ends).unionByName(behind)
-    later = Window.partitionBy(*keys, "c").orderBy(F.col("t").desc(), F.col("is_arrival").desc())
-    later = later.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    links = rows.withColumn("n", F.min(F.when(F.col("is_arrival"), F.col("t"))).over(later))
-    links = links.where(~F.col("is_arrival") & F.col("n").isNotNull()).select(*keys, (F.col("t") - hold).alias("t"), "n")
-    # After a gap: nothing earlier in the bucket, and no window that began in the bucket before reaches beyond it.
-    reach = ends.groupBy(*keys, "c").agg(F.max("t").alias("until"))
-    free = first.join(reach, [*keys, "c"], "left").where(F.col("until").isNull() | (F.col("until") <= F.col("t"))).select(*keys, "t")
-    rounds = _rounds(first, keys)
-    found = free
-    for k in range(rounds):
-        found = found.unionByName(found.join(links, [*keys, "t"]).select(*keys, F.col("n").alias("t")))
-        if k + 1 < rounds:
-            above = links.select(*keys, F.col("t").alias("n"), F.col("n").alias("m"))
-            links = links.join(above, [*keys, "n"]).select(*keys, "t", F.col("m").alias("n"))
-        if rounds > PLANNED_ROUNDS:
-            found, links = stored(found.distinct(), "openings"), stored(links, "links")
-    return found.distinct() if rounds else found
-
-
-def _rounds(buckets: DataFrame, keys: Sequence[str]) -> int:
-    """Rounds that reach every opening: each bucket holds one at most, and an empty bucket is a gap."""
-    order = Window.partitionBy(*keys).orderBy("c")
-    runs = buckets.select(*keys, (F.col("c") - F.row_number().over(order)).alias("run")).groupBy(*keys, "run").count()
-    longest = runs.agg(F.max("count")).first()[0]
-    return math.ceil(math.log2(longest)) if longest else 0
+    steps = stored(_steps(arrivals, keys, hold), "steps")
+    found = steps.where("n is null").select(*keys, "t")
+    links = steps.where("n is not null")
+    # Each opening follows one other at most, so a round finds no opening twice.
+    while not links.isEmpty():
+        further = stored(found.join(links, [*keys, "t"]).select(*keys, F.col("n").alias("t")), "openings")
+        if further.isEmpty():
+            break
+        found = found.unionByName(further)
+        above = links.select(*keys, F.col("t").alias("n"), F.col("n").alias("m"))
+        links = stored(links.join(above, [*keys, "n"]).select(*keys, "t", F.col("m").alias("n")), "links")
+    return found.distinct()
 
 
 def released(rows: DataFrame, keys: Sequence[str], hold_seconds: float, time: str = "received_at") -> DataFrame:
