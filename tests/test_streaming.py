@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import duckdb
 import pytest
 from conftest import NOW, at, plain
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from wardwatch.functions.timeline import iso_text
 from wardwatch.operators import falls, occupancy, recovery
 from wardwatch.operators.metrics import ingest_counters
 from wardwatch.operators.validate import accepted_events, validate_raw
+from wardwatch.plans import queries
 from wardwatch.session import new_table_path
 from wardwatch.sources import alarm_table, event_log, keyed_state, raw_json
 from wardwatch.streaming import alarms as alarm_stream
@@ -298,3 +300,19 @@ def test_text_stream_uses_the_batch_time_as_receipt(spark, tmp_path):
     ingest.start_log(raw_json.stream_raw(spark, folder), f"{base}/log", f"{base}/checkpoint").awaitTermination()
     rows = plain(event_log.read_arrivals(spark, f"{base}/log"))
     assert [row["outcome"] for row in rows] == ["accepted"] * 3 and len({row["received_at"] for row in rows}) == 1
+
+
+@pytest.fixture
+def rows_of_its_own(tmp_path):
+    duckdb.sql(
+        "SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 600_000_000) AS ts, i % 60 AS user_id, "
+        "['click', 'purchase', 'error', 'view'][1 + i % 7 % 4] AS event_type, (i % 97)::DOUBLE AS value, '{}' AS props FROM range(4000) r(i)"
+    ).write_parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_a_part_of_the_backlog_is_dealt_to_all_tasks(spark, rows_of_its_own):
+    backlog = queries._backlog(spark, rows_of_its_own)
+    rows = spark.read.parquet(backlog).groupBy(F.input_file_name()).count().collect()
+    assert len(rows) == 3 * queries._tasks(spark)
+    assert max(r["count"] for r in rows) <= 2 * sum(r["count"] for r in rows) / len(rows)

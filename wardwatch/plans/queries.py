@@ -522,21 +522,26 @@ def r3_fall_replay(spark, sf_dir):
 # Streaming, run over all available input and compared with the batch answer
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that rows are dealt to: two per core, so that the time of one does not grow while cores are free."""
+    return max(PARSE_TASKS, 2 * spark.sparkContext.defaultParallelism)
+
+
 def _stream_log(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "stream-log")
     raw = wire_json(adapt(stream_source_events(spark, sf_dir))).select("raw", "received_at")
-    ingest.start_log(raw, f"{path}/table", f"{path}/checkpoint", parse_tasks=PARSE_TASKS).awaitTermination()
+    ingest.start_log(raw, f"{path}/table", f"{path}/checkpoint", parse_tasks=_tasks(spark)).awaitTermination()
     return f"{path}/table"
 
 
 def _backlog(spark: SparkSession, sf_dir: str) -> str:
-    """The log with its days written from the last to the first, one file each: as a stream, receipts go back."""
+    """The log with its days written in three parts, ``_tasks`` files each: as a stream of a part per batch, receipts go back."""
     log = event_log.read_arrivals(spark, _stream_log(spark, sf_dir)).where(F.col("outcome") == "accepted")
     path = new_table_path(spark, "backlog")
     third = F.pmod(F.dayofmonth("ts"), F.lit(3))
     for part in (2, 1, 0):
         # Copies of a fall share the second, and so the part.
-        log.where(third == part).coalesce(1).write.mode("append").partitionBy("outcome").parquet(path)
+        log.where(third == part).repartition(_tasks(spark)).write.mode("append").partitionBy("outcome").parquet(path)
     return path
 
 
@@ -550,7 +555,7 @@ def t1_stream_validate(spark, sf_dir):
 def t3_stream_fall_dedup(spark, sf_dir):
     path = new_table_path(spark, "stream-dedup")
     alarm_stream.start_alarms(
-        spark, _backlog(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", max_files_per_trigger=1
+        spark, _backlog(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", max_files_per_trigger=_tasks(spark)
     ).awaitTermination()
     return alarm_table.read_alarms(spark, f"{path}/table").select(
         "dedup_key", "device_id", "room_id", "ts", _six("confidence"), "received_at"
@@ -558,13 +563,13 @@ def t3_stream_fall_dedup(spark, sf_dir):
 
 
 def _run_state_twice(spark: SparkSession, log: str, tables) -> dict[str, DataFrame]:
-    """The state after part of the log, a lost checkpoint, and the log from its beginning, a file per batch."""
+    """The state after part of the log, a lost checkpoint, and the log from its beginning, three batches each."""
     path = new_table_path(spark, "stream-state")
     part = new_table_path(spark, "first-part")
-    spark.read.parquet(log).where(F.dayofmonth("ts") % 2 == 0).write.partitionBy("outcome").parquet(part)
+    spark.read.parquet(log).where(F.dayofmonth("ts") % 2 == 0).repartition(3 * _tasks(spark)).write.partitionBy("outcome").parquet(part)
     for source, checkpoint in ((part, "lost"), (log, "new")):
         state_stream.start_state(
-            spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, 1, tables, buckets=STATE_BUCKETS
+            spark, source, f"{path}/state", f"{path}/{checkpoint}", WEEK, RETENTION, _tasks(spark), tables, buckets=STATE_BUCKETS
         ).awaitTermination()
     return state_stream.read_state(spark, f"{path}/state")
 
@@ -595,7 +600,8 @@ def _in_slices(spark: SparkSession, sf_dir: str):
     log = event_log.read_arrivals(spark, _stream_log(spark, sf_dir)).where(F.col("outcome") == "accepted")
     path = new_table_path(spark, "growing")
     for low, high in zip(SLICES, SLICES[1:]):
-        log.where((F.col("received_at") >= low) & (F.col("received_at") < high)).write.mode("append").partitionBy("outcome").parquet(path)
+        days = F.col("event_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high)))
+        log.where(days & (F.col("received_at") >= low) & (F.col("received_at") < high)).write.mode("append").partitionBy("outcome").parquet(path)
         yield path
 
 
